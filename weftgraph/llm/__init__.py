@@ -11,7 +11,7 @@ import importlib
 
 from pyspark import cloudpickle
 
-_MODULES = ("common", "token_counts", "exact_dedup", "sharding", "packing", "token_files", "bpe_words")
+_MODULES = ("common", "token_counts", "exact_dedup", "sharding", "packing", "token_files", "bpe_words", "quality", "toxicity")
 
 for _name in _MODULES:
     cloudpickle.register_pickle_by_value(importlib.import_module(f"{__name__}.{_name}"))

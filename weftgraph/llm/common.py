@@ -158,3 +158,58 @@ def prefix_offsets(df: DataFrame, order: str, counts: dict[str, str], width: int
         .withColumns({n: (F.col(f"_start_{n}") + F.col(f"_in_{n}")).cast("long") for n in counts})
         .drop("_bucket", *(f"_start_{n}" for n in counts), *(f"_in_{n}" for n in counts))
     )
+
+
+def labelled_sample(
+    labels: DataFrame, label: str, per_class: dict[int, int], doc_id: str = "doc_id", seed: int = 42
+) -> tuple[DataFrame, dict[int, int]]:
+    """A bounded sample of the labelled rows that may be learned from, and the number
+    of all of them by class.
+
+    ``per_class`` bounds the rows of each class, so the sample can be broadcast.  Rows
+    are taken by a hash of the id, which does not depend on order or partitions.
+    (doc_id, label, part): part is 0 for the even ranks of a class, 1 for the odd.
+    """
+    spark = labels.sparkSession
+    usable = (
+        labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(*per_class) & ~held_out(F.col(doc_id)))
+        .groupBy(F.col(doc_id).alias("doc_id"))
+        .agg(F.min(label).cast("int").alias("label"))
+    )
+    counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = []
+    for value, most in per_class.items():
+        taken = usable.filter(F.col("label") == value).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
+        rows += [(r["doc_id"], value, i % 2) for i, r in enumerate(taken.collect())]
+    id_type = labels.schema[doc_id].dataType.simpleString()
+    return spark.createDataFrame(rows, f"doc_id {id_type}, label int, part int"), counts
+
+
+def logistic_fit(x, y, weights, ridge: float = 1e-3, rounds: int = 60):
+    """Weighted logistic regression by Newton steps: coefficients, intercept last.
+    y may be soft."""
+    import numpy as np
+
+    a = np.c_[x, np.ones(len(x))]
+    w = np.zeros(a.shape[1])
+    penalty = np.full(len(w), ridge * weights.sum() / max(1, len(weights)))
+    penalty[-1] = 1e-6
+
+    def loss(v):
+        z = a @ v
+        return float((weights * (np.logaddexp(0, z) - y * z)).sum() + (penalty * v * v).sum() / 2)
+
+    last = loss(w)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
+        slope = a.T @ (weights * (y - p)) - penalty * w
+        curve = (a * (weights * p * (1 - p))[:, None]).T @ a + np.diag(penalty + 1e-9)
+        step, size = np.linalg.solve(curve, slope), 1.0
+        while size > 1e-4 and loss(w + size * step) > last:
+            size /= 2
+        w = w + size * step
+        now = loss(w)
+        if last - now < 1e-9 * max(1.0, abs(now)):
+            break
+        last = now
+    return w

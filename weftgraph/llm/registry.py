@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import bpe_words, exact_dedup, packing, sharding, token_counts, token_files
+from weftgraph.llm import bpe_words, exact_dedup, packing, quality, sharding, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op3_quality": quality.op3_quality,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_token_files": token_files.op6_token_files,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe_words": bpe_words.op8_bpe_words,
     "op9_sharding": sharding.op9_sharding,
     "op10_packing": packing.op10_packing,
