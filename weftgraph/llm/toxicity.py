@@ -22,20 +22,21 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import held_out, labelled_sample, logistic_fit, table
+from weftgraph.llm.common import held_out, labelled_sample, logistic_fit, staged, table
 
 SAMPLE_ROWS = 5_000
 ENTRIES = 600
-#: An entry needs so many toxic documents of the sample.
-SUPPORT = 4
+#: Least log likelihood ratio of an entry; some millions of entries are looked at.
+SURPLUS = 14.0
 BEGINNINGS = range(3, 8)
 VOTERS_PER_KIND = 4
 THRESHOLD = 0.7
@@ -74,32 +75,63 @@ def entry_counts(sample: DataFrame) -> DataFrame:
     )
 
 
-def log_odds(toxic: float, clean: float, n_toxic: float, n_clean: float) -> float:
-    return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
+def distinct_texts(sample: DataFrame) -> DataFrame:
+    """One row of the sample for each group of copies and near copies, by the least hash
+    over a text's longer words, so that what one text says is counted once."""
+
+    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [
+                min((zlib.crc32(w.encode("utf-8", "replace")) for w in words(v.as_py()) if len(w) > 4), default=-1)
+                for v in batch.column(0)
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["text", "label", "key"])
+
+    keyed = sample.mapInArrow(sketch, "text string, label int, key long")
+    alone = keyed.filter("key >= 0").groupBy("key", "label").agg(F.min("text").alias("text")).select("text", "label")
+    return alone.unionByName(keyed.filter("key < 0").select("text", "label"))
+
+
+def surplus(toxic: Column, clean: Column, share: float) -> Column:
+    """Log likelihood ratio of the entry's own toxic share against the sample's share:
+    how surely the entry is no chance find among the many that are looked at."""
+    n = toxic + clean
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
+    return part(toxic, share) + part(clean, 1 - share)
 
 
-def mined(counted: DataFrame, n_toxic: int, n_clean: int, most: int, support: int) -> list[str]:
-    """The entries that tell most, best first.  A longer beginning, or a word, is left
-    out where a shorter beginning of it is kept that is as telling."""
+def mined(counted: DataFrame, n_toxic: int, n_clean: int, most: int, least: float = SURPLUS) -> list[str]:
+    """The entries that tell most, best first.  Of a beginning and a longer beginning or
+    word that covers nearly all its documents, the longer is kept; what a kept beginning
+    covers otherwise is left out."""
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    share = n_toxic / (n_toxic + n_clean)
     rows = (
-        counted.filter(F.col("toxic") >= support)
+        counted.filter("toxic > 0")
         .withColumn("odds", odds)
-        .filter(F.col("odds") >= math.log(20))
-        .withColumn("worth", F.col("odds") * F.col("toxic"))
+        .withColumn("worth", surplus(F.col("toxic"), F.col("clean"), share))
+        .filter((F.col("odds") >= math.log(20)) & (F.col("worth") >= least))
         .orderBy(F.desc("worth"), "entry")
-        .limit(most * 8)
+        .limit(most * 16)
         .collect()
     )
-    odds_of = {r["entry"]: r["odds"] for r in rows}
-    out = []
+    toxic_of = {r["entry"]: r["toxic"] for r in rows}
+    inside: dict[str, int] = {}  # by beginning: most documents of a longer entry
+    for name, n in toxic_of.items():
+        for k in BEGINNINGS:
+            if len(name) > k and (name[0] == "=" or k < len(name) - 1):
+                at = f"{k}{name[1 : k + 1]}"
+                inside[at] = max(inside.get(at, 0), n)
+    out: list[str] = []
+    kept: set[str] = set()
     for r in rows:
         name = r["entry"]
-        word = name[1:]
-        shorter = [f"{n}{word[:n]}" for n in BEGINNINGS if len(word) >= n and (name[0] == "=" or n < len(word))]
-        # A beginning that is met only inside one word says no more than the word.
-        if not any(odds_of.get(s, -1) >= r["odds"] - 0.3 for s in shorter):
+        if name[0] != "=" and inside.get(name, 0) >= 0.85 * r["toxic"]:
+            continue
+        shorter = {f"{k}{name[1 : k + 1]}" for k in BEGINNINGS if len(name) > k and (name[0] == "=" or k < len(name) - 1)}
+        if not shorter & kept:
             out.append(name)
+            kept.add(name)
     return out[:most]
 
 
@@ -107,6 +139,7 @@ def mined(counted: DataFrame, n_toxic: int, n_clean: int, most: int, support: in
 class ToxicityModel:
     entries: list[str] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
+    any_weight: float = 0.0
     intercept: float = -40.0
     voters: list[str] = field(default_factory=list)
     accuracies: list[float] = field(default_factory=list)
@@ -128,8 +161,8 @@ class ToxicityModel:
 
         return find
 
-    def score(self, found: Iterable[int]) -> float:
-        z = self.intercept + sum(self.weights[i] for i in found)
+    def score(self, found: set[int]) -> float:
+        z = self.intercept + sum(self.weights[i] for i in found) + (self.any_weight if found else 0.0)
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
@@ -149,7 +182,7 @@ def votes(found: list[set[int]], sizes: list[int], entries: list[str]):
         voter_of[i] = names.index(name)
     n = len(names)
     names += ["several entries", "entries per word", "no entry", *(f"no entry of kind {k}" for k in kinds)]
-    m = np.zeros((len(found), len(names)))
+    m = np.zeros((len(found), len(names)), dtype=float)
     for row, (own, size) in enumerate(zip(found, sizes, strict=True)):
         for i in own:
             m[row, voter_of[i]] = 1
@@ -167,27 +200,29 @@ def label_model(m, prior: float, rounds: int = 25):
     their correlations given the class."""
     import numpy as np
 
-    values = (-1, 0, 1)
+    values = np.array((-1, 0, 1))
     hits = np.stack([m == v for v in values], axis=2).astype(float)
     post = np.where((m == 1).any(axis=1), 0.9, 0.02)
-    discount = np.ones(m.shape[1])
-    correlation = np.eye(m.shape[1])
-    for step in range(rounds):
-        table_ = []
-        for weight in (1 - post, post):
-            table_.append((np.einsum("r,rvk->vk", weight, hits) + 0.1) / (weight.sum() + 0.3))
-        if step % 5 == 4:
-            # What is left of each vote beside its expectation given the class.
-            expected = [t @ np.array(values) for t in table_]
-            rest = m - np.outer(1 - post, expected[0]) - np.outer(post, expected[1])
-            spread = rest.std(axis=0)
-            scaled = np.where(spread > 1e-6, (rest - rest.mean(axis=0)) / np.maximum(spread, 1e-6), 0.0)
-            correlation = scaled.T @ scaled / max(1, len(m))
-            np.fill_diagonal(correlation, 1.0)
-            discount = 1 / np.abs(correlation).sum(axis=1)
-        ratio = np.log(table_[1]) - np.log(table_[0])
-        z = math.log(prior / (1 - prior)) + np.einsum("v,vk,rvk->r", discount, ratio, hits)
-        post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def tables(post):
+        return [(np.einsum("r,rvk->vk", w, hits) + 0.1) / (w.sum() + 0.3) for w in (1 - post, post)]
+
+    def posterior(table_, discount):
+        z = math.log(prior / (1 - prior)) + np.einsum("v,vk,rvk->r", discount, np.log(table_[1]) - np.log(table_[0]), hits)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    for _ in range(rounds):
+        post = posterior(tables(post), np.ones(m.shape[1]))
+    # What is left of each vote beside its expectation given the class; small
+    # correlations are noise of the sample.
+    expected = [t @ values for t in tables(post)]
+    rest = m - np.outer(1 - post, expected[0]) - np.outer(post, expected[1])
+    spread = rest.std(axis=0)
+    scaled = np.where(spread > 1e-6, (rest - rest.mean(axis=0)) / np.maximum(spread, 1e-6), 0.0)
+    correlation = scaled.T @ scaled / max(1, len(m))
+    np.fill_diagonal(correlation, 1.0)
+    size = np.abs(correlation)
+    post = posterior(tables(post), 1 / np.where(size > 0.2, size, 0.0).sum(axis=1).clip(1.0))
     accuracy = [
         float((post @ (m[:, j] == 1) + (1 - post) @ (m[:, j] == -1)) / max(1.0, (m[:, j] != 0).sum()))
         for j in range(m.shape[1])
@@ -203,7 +238,7 @@ def fit(
     text: str = "text",
     sample_rows: int = SAMPLE_ROWS,
     most: int = ENTRIES,
-    support: int = SUPPORT,
+    surplus_least: float = SURPLUS,
 ) -> ToxicityModel:
     import numpy as np
 
@@ -212,10 +247,13 @@ def fit(
     if len(counts) < 2:
         return model
     prior = counts[1] / sum(counts.values())
-    n_toxic, n_clean = min(counts[1], sample_rows), min(counts[0], 2 * sample_rows)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     drawn = own.join(F.broadcast(sample), "doc_id").select("text", "label")  # at most 3 * sample_rows ids
-    model.entries = mined(entry_counts(drawn), n_toxic, n_clean, most, support)
+    drawn = staged(distinct_texts(drawn), "toxicity-sample")
+    seen = {r["label"]: r["n"] for r in drawn.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(seen) < 2:
+        return model
+    model.entries = mined(entry_counts(drawn), seen[1], seen[0], most, surplus_least)
     find_in = model
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,19 +272,20 @@ def fit(
     rows = drawn.mapInArrow(find, "found array<int>, size long, label int").collect()
     rows.sort(key=lambda r: (r["label"], r["size"], list(r["found"])))
     found, sizes = [set(r["found"]) for r in rows], [r["size"] for r in rows]
-    # The sample holds more toxic rows than the table: weighted back to its shares.
     model.voters, m = votes(found, sizes, model.entries)
     share = np.mean([r["label"] == 1 for r in rows]) if rows else 0.0
     if not 0 < share < 1:
         return ToxicityModel()
     post, model.accuracies, correlation = label_model(m, float(share))
     model.correlations = correlation.tolist()
-    x = np.zeros((len(rows), len(model.entries)))
+    x = np.zeros((len(rows), len(model.entries) + 1))
     for i, f in enumerate(found):
         x[i, sorted(f)] = 1
+        x[i, -1] = bool(f)
+    # The sample holds more toxic rows than the table: weighted back to its shares.
     weights = np.where(post >= 0.5, prior / share, (1 - prior) / (1 - share))
     w = logistic_fit(x, post, weights, ridge=0.02)
-    model.weights, model.intercept = w[:-1].tolist(), float(w[-1])
+    model.weights, model.any_weight, model.intercept = w[:-2].tolist(), float(w[-2]), float(w[-1])
     return model
 
 
