@@ -11,7 +11,19 @@ import importlib
 
 from pyspark import cloudpickle
 
-_MODULES = ("common", "token_counts", "exact_dedup", "sharding", "packing", "token_files", "bpe_words", "quality", "toxicity")
+_MODULES = (
+    "common",
+    "components",
+    "token_counts",
+    "embedding_dedup",
+    "quality",
+    "exact_dedup",
+    "token_files",
+    "toxicity",
+    "bpe_words",
+    "sharding",
+    "packing",
+)
 
 for _name in _MODULES:
     cloudpickle.register_pickle_by_value(importlib.import_module(f"{__name__}.{_name}"))
