@@ -90,7 +90,9 @@ class ByteBpe:
         self._library = None
         self._fast = None
         with open(json_path, encoding="utf-8") as f:
-            special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+            spec = json.load(f)
+        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.size = 1 + max([*spec["model"]["vocab"].values(), *special.values()])
         if ranks_path and os.path.exists(ranks_path):
             import public_tokenizers
             import tiktoken

@@ -1,12 +1,12 @@
 """Token ids as raw files with a minimal perfect hash index.
 
 Documents are sorted by key over the whole table and encoded; each Spark partition
-writes shards of raw little-endian unsigned 32-bit ids, an end id after each
-document.  Beside each shard lies an index: a minimal perfect hash function maps the
+writes shards of raw little-endian unsigned ids, an end id after each document: of 16
+bits where every id of the vocabulary fits, else of 32.  Beside each shard lies an index: a minimal perfect hash function maps the
 shard's n keys onto 0..n-1, where fingerprint, offset and length of a document are
 stored.  A keyed read hashes the key, compares the fingerprint and reads one range.
 
-Shard layout (``.ids``): 8 bytes ``WGTOKID1``, then the ids.
+Shard layout (``.ids``): 7 bytes ``WGTOKID``, the bytes per id as a digit, then the ids.
 Index layout (``.idx``): 8 bytes ``WGTOKIX1``, a line of JSON with counts, then the
 arrays it lists: keys, lengths, hash levels' bits, fingerprints, offsets, entry lengths.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import byte_bpe, byte_bpe_paths, new_folder, prefix_offsets, staged, table
 
-IDS_MAGIC, INDEX_MAGIC = b"WGTOKID1", b"WGTOKIX1"
+IDS_MAGIC, INDEX_MAGIC = b"WGTOKID", b"WGTOKIX1"
 END_ID = 0
 #: Ids in a shard before the next is begun; a longer document still stays whole.
 SHARD_IDS = 16_000_000
@@ -204,6 +204,7 @@ def write_token_files(
         from pyspark import TaskContext
 
         encoder, part = byte_bpe(paths), TaskContext.get().partitionId()
+        width = 2 if max(encoder.size, end_id + 1) <= 1 << 16 else 4
         keys: list[int | None] = []
         payload: list[bytes] = []
         lengths: list[int] = []
@@ -211,7 +212,7 @@ def write_token_files(
 
         def shard() -> pa.RecordBatch:
             path = f"{folder}/{part:06d}-{written:06d}"
-            write_file(f"{path}.ids", IDS_MAGIC + b"".join(payload))
+            write_file(f"{path}.ids", IDS_MAGIC + b"%d" % width + b"".join(payload))
             write_file(f"{path}.idx", Index.of(keys, lengths).to_bytes())
             known = [k for k in keys if k is not None]
             row = (path, part << 24 | written, len(keys), held, min(known, default=None), max(known, default=None))
@@ -223,7 +224,7 @@ def write_token_files(
         for batch in batches:
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = value.as_py()
-                ids = np.append(encoder.ids(t) if t else np.empty(0, np.uint32), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encoder.ids(t) if t else np.empty(0, np.uint32), np.uint32(end_id)).astype(f"<u{width}")
                 keys.append(key)
                 payload.append(ids.tobytes())
                 lengths.append(len(ids))
@@ -251,9 +252,9 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 index = Index.from_bytes(read_file(f"{row['path']}.idx"))
-                ids = memoryview(read_file(f"{row['path']}.ids"))
-                if bytes(ids[:8]) != IDS_MAGIC:
-                    raise ValueError(f"not a file of token ids: {row['path']}")
+                data = read_file(f"{row['path']}.ids")
+                width = id_width(data, row["path"])
+                ids = np.frombuffer(data, f"<u{width}", offset=8)
                 in_order = np.cumsum(index.lengths) - index.lengths
                 at, n = index.find(index.keys)
                 # Only null keys and further rows with a key differ from the order of writing.
@@ -261,7 +262,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 if (at[index.known] < 0).any():
                     raise ValueError(f"a key is missing from the index of {row['path']}")
                 at, n = np.where(other, in_order, at), np.where(other, index.lengths, n)
-                crc = [zlib.crc32(ids[8 + 4 * a : 8 + 4 * (a + k)]) for a, k in zip(at.tolist(), n.tolist(), strict=True)]
+                crc = [zlib.crc32(ids[a : a + k].astype("<u4")) for a, k in zip(at.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(index.keys, pa.int64(), mask=~index.known),
@@ -280,6 +281,12 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     )
 
 
+def id_width(head: bytes, path: str) -> int:
+    if head[:7] != IDS_MAGIC or head[7:8] not in (b"2", b"4"):
+        raise ValueError(f"not a file of token ids: {path}")
+    return int(head[7:8])
+
+
 class TokenStore:
     """Keyed access from one process: the manifest's key ranges name the shard, its
     index the place."""
@@ -301,7 +308,10 @@ class TokenStore:
         path = self.shards[i][2]
         index = self.indexes.get(path) or self.indexes.setdefault(path, Index.from_bytes(read_file(f"{path}.idx")))
         at, n = (int(x[0]) for x in index.find(np.array([key], np.int64)))
-        return None if at < 0 else np.frombuffer(read_file(f"{path}.ids", 8 + 4 * at, 4 * n), "<u4")
+        if at < 0:
+            return None
+        width = id_width(read_file(f"{path}.ids", 0, 8), path)
+        return np.frombuffer(read_file(f"{path}.ids", 8 + width * at, width * n), f"<u{width}").astype(np.uint32)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
