@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -44,6 +45,7 @@ class WordBpe:
     """The words of a text, and the ids and pieces of a word."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to the executor's tasks
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
