@@ -23,6 +23,7 @@ _MODULES = (
     "bpe_words",
     "sharding",
     "packing",
+    "minmax_dedup",
 )
 
 for _name in _MODULES:

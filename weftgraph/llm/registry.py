@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import bpe_words, embedding_dedup, exact_dedup, packing, quality, sharding, token_counts, token_files, toxicity
+from weftgraph.llm import bpe_words, embedding_dedup, exact_dedup, minmax_dedup, packing, quality, sharding, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
     "op3_quality": quality.op3_quality,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_minmax_dedup": minmax_dedup.op5_minmax_dedup,
     "op6_token_files": token_files.op6_token_files,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe_words": bpe_words.op8_bpe_words,
