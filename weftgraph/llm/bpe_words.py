@@ -1,11 +1,12 @@
 """BPE by a distinct-word table, and decoding by an id-to-piece table.
 
 1. Each task splits its texts into words as the tokenizer's normalizer and
-   pre-tokenizer do, and lists the distinct words of each block of texts.
-2. The words of all blocks are made distinct; each is encoded once.
-3. The ids are joined back to each block's words and written, by block, to the
-   shared folder: a block gets the entries of its own words only, so nothing grows
-   with the vocabulary of the corpus.
+   pre-tokenizer do, and lists the distinct words of each block of texts, in one
+   compressed row per bucket of a word hash.
+2. The rows are dealt by bucket, so that equal words of all blocks meet; each distinct
+   word is encoded once, and its ids go to every block that has it.
+3. These entries are written, by block, to the shared folder: a block gets the entries
+   of its own words only, so no task holds the vocabulary of the corpus.
 4. Each task reads its texts again, opens the entries of their block, and puts ids
    in place of words by position.  Decoding looks pieces up by id (a table of fixed
    size) and joins them as the library's decode does.
@@ -25,14 +26,16 @@ import hashlib
 import json
 import os
 import re
+import struct
 import unicodedata
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import WORD_BPE_JSON, new_folder, staged, table, tokenizer_path, worker_cache
+from weftgraph.llm.common import WORD_BPE_JSON, new_folder, table, tokenizer_path, worker_cache
 from weftgraph.llm.token_files import filesystem
 
 #: Characters of text in a block; bounds the entries that a task holds at once.
@@ -57,6 +60,9 @@ class WordBpe:
         words["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         self.by_word = Tokenizer.from_str(json.dumps(words))
         self.pieces = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size())]
+        if len(self.pieces) > 1 << 16:
+            raise ValueError("ids of this vocabulary need more than 16 bits")
+        self.decimal = [str(i) for i in range(len(self.pieces))]
         # Below U+0250 and in general punctuation, normalization and classes are plain (held by a test).
         plain = [chr(c) for c in [*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA0, 0x130), *range(0x131, 0x250), *range(0x2010, 0x2028), 0x20AC]]
         low = {x for c in plain for x in c.lower()}
@@ -85,13 +91,16 @@ class WordBpe:
         pre = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(map(self.bytes_of.__getitem__, w)).decode("utf-8", "surrogateescape") for w, _ in pre]
 
-    def ids(self, words: list[str]) -> list[str]:
-        """The ids of each word, in decimal, joined by one space."""
+    def packed(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as little-endian unsigned 16-bit integers."""
         plain = self.by_word.encode_batch_fast(["" if w[0] == SPECIAL else w for w in words], add_special_tokens=False)
-        return [str(self.special[w[1:]]) if w[0] == SPECIAL else " ".join(map(str, e.ids)) for w, e in zip(words, plain, strict=True)]
+        ids = [[self.special[w[1:]]] if w[0] == SPECIAL else e.ids for w, e in zip(words, plain, strict=True)]
+        return [struct.pack(f"<{len(x)}H", *x) for x in ids]
 
-    def pieces_of(self, ids: str) -> str:
-        return " ".join([self.pieces[int(i)] for i in ids.split()])
+    def unpacked(self, ids: bytes) -> tuple[str, str]:
+        """The ids in decimal and their pieces, each joined by one space."""
+        own = struct.unpack(f"<{len(ids) // 2}H", ids)
+        return " ".join([self.decimal[i] for i in own]), " ".join([self.pieces[i] for i in own])
 
 
 def word_bpe(path: str) -> WordBpe:
@@ -117,8 +126,40 @@ def blocks(batches: Iterable[pa.RecordBatch], column: int, chars: int) -> Iterat
             yield block, batch.slice(at)
 
 
-def block_words(docs: DataFrame, path: str, chars: int = BLOCK_CHARS) -> DataFrame:
-    """(part, block, word): the distinct words of each block of texts."""
+def squeezed(words: list[str]) -> bytes:
+    import zstandard
+
+    return zstandard.compress("\n".join(words).encode("utf-8", "surrogateescape"), 3)
+
+
+def unsqueezed(data: bytes) -> list[str]:
+    import zstandard
+
+    return zstandard.decompress(data).decode("utf-8", "surrogateescape").split("\n")
+
+
+def squeezed_ids(ids: list[bytes]) -> bytes:
+    """The number of ids of each word, then all ids."""
+    import numpy as np
+    import zstandard
+
+    counts = np.array([len(x) // 2 for x in ids], "<u4")
+    return zstandard.compress(struct.pack("<I", len(ids)) + counts.tobytes() + b"".join(ids), 3)
+
+
+def unsqueezed_ids(data: bytes) -> list[bytes]:
+    import numpy as np
+    import zstandard
+
+    own = zstandard.decompress(data)
+    n = struct.unpack_from("<I", own)[0]
+    ends = 4 + 4 * n + 2 * np.cumsum(np.frombuffer(own, "<u4", n, 4).astype(np.int64))
+    starts = np.append(4 + 4 * n, ends[:-1]) if n else ends
+    return [own[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def block_words(docs: DataFrame, path: str, buckets: int, chars: int = BLOCK_CHARS) -> DataFrame:
+    """(part, block, bucket, words): the distinct words of each block of texts, sorted."""
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -127,61 +168,76 @@ def block_words(docs: DataFrame, path: str, chars: int = BLOCK_CHARS) -> DataFra
         found: set[str] = set()
         last = 0
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            words = list(found)
-            for i in range(0, len(words), 50_000):
-                own = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(own), pa.int32()), pa.array([last] * len(own), pa.int32()), pa.array(own, pa.string())],
-                    ["part", "block", "word"],
-                )
+        def rows() -> pa.RecordBatch:
+            lists: dict[int, list[str]] = {}
+            for w in sorted(found):
+                lists.setdefault(zlib.crc32(w.encode("utf-8", "surrogateescape")) % buckets, []).append(w)
+            columns = ([part] * len(lists), [last] * len(lists), list(lists), [squeezed(x) for x in lists.values()])
+            types = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["part", "block", "bucket", "words"]
+            )
 
         for block, batch in blocks(batches, 0, chars):
             if block != last:
-                yield from rows()
+                yield rows()
                 found, last = set(), block
             for value in batch.column(0):
                 if t := value.as_py():
                     found.update(bpe.words(t))
-        yield from rows()
+        yield rows()
 
-    return docs.mapInArrow(split, "part int, block int, word string")
+    return docs.mapInArrow(split, "part int, block int, bucket int, words binary")
 
 
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids): each distinct word encoded once."""
+    """(part, block, words, ids): each distinct word encoded once."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
+        bucket, ids_of = -1, {}
         for batch in batches:
-            own = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.ids(own), pa.string())], ["word", "ids"])
-
-    return words.select("word").distinct().mapInArrow(encode, "word string, ids string")
+            out = []
+            for own, data in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if own != bucket:  # rows come sorted by bucket
+                    bucket, ids_of = own, {}
+                listed = unsqueezed(data.as_py())
+                new = [w for w in listed if w not in ids_of]
+                for i in range(0, len(new), 10_000):
+                    ids_of.update(zip(new[i : i + 10_000], bpe.packed(new[i : i + 10_000]), strict=True))
+                out.append(squeezed_ids([ids_of[w] for w in listed]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.binary())], ["part", "block", "words", "ids"]
+            )
+
+    return (
+        words.repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(encode, "part int, block int, words binary, ids binary")
+    )
 
 
 def block_entries(spark: SparkSession, words: DataFrame, path: str) -> str:
     """Write the entries of every block to the shared folder, a folder per partition."""
-    table_ = staged(encoded_words(words, path), "words")
     folder = new_folder(spark, "block-words")
-    joined = words.join(table_, "word").select("part", "block", "word", "ids")
-    joined.repartition("part", "block").sortWithinPartitions("part", "block").write.partitionBy("part").parquet(folder)
+    encoded_words(words, path).repartition("part", "block").sortWithinPartitions("part", "block").write.partitionBy(
+        "part"
+    ).parquet(folder)
     return folder
 
 
-def entries(folder: str, part: int, block: int) -> dict[str, str]:
+def entries(folder: str, part: int, block: int) -> Iterator[tuple[str, bytes]]:
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     system, base = filesystem(f"{folder}/part={part}")
-    found: dict[str, str] = {}
     if system.get_file_info(base).type != fs.FileType.Directory:
-        return found
+        return
     for info in system.get_file_info(fs.FileSelector(base)):
         if info.base_name.startswith("part-"):
-            read = pq.read_table(info.path, columns=["word", "ids"], filters=[("block", "=", block)], filesystem=system, partitioning=None)
-            found.update(zip(read.column(0).to_pylist(), read.column(1).to_pylist(), strict=True))
-    return found
+            read = pq.read_table(info.path, columns=["words", "ids"], filters=[("block", "=", block)], filesystem=system, partitioning=None)
+            for words, ids in zip(read.column(0), read.column(1), strict=True):
+                yield from zip(unsqueezed(words.as_py()), unsqueezed_ids(ids.as_py()), strict=True)
 
 
 def encode_decode(
@@ -196,7 +252,8 @@ def encode_decode(
     path = path or tokenizer_path(WORD_BPE_JSON)
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    folder = block_entries(spark, staged(block_words(own.select("text"), path, chars), "block-words"), path)
+    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folder = block_entries(spark, block_words(own.select("text"), path, buckets, chars), path)
     id_type = docs.schema[doc_id].dataType.simpleString()
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
 
@@ -206,20 +263,28 @@ def encode_decode(
         bpe, part, last = word_bpe(path), TaskContext.get().partitionId(), -1
         ids_of: dict[str, str] = {}
         pieces_of: dict[str, str] = {}
-        count_of: dict[str, int] = {}
+
+        def know(known: Iterable[tuple[str, bytes]]) -> None:
+            for w, x in known:
+                ids_of[w], pieces_of[w] = bpe.unpacked(x)
+
         for block, batch in blocks(batches, 1, chars):
             if block != last:
-                ids_of, last = entries(folder, part, block), block
-                pieces_of = {w: bpe.pieces_of(x) for w, x in ids_of.items()}
-                count_of = {w: x.count(" ") + 1 for w, x in ids_of.items()}
+                ids_of.clear()
+                pieces_of.clear()
+                know(entries(folder, part, block))
+                last = block
             out: tuple[list, ...] = ([], [], [], [], [])
             for value in batch.column(1):
                 words = bpe.words(t) if (t := value.as_py()) else []
-                if missing := [w for w in set(words) if w not in ids_of]:
-                    for w, x in zip(missing, bpe.ids(missing), strict=True):
-                        ids_of[w], pieces_of[w], count_of[w] = x, bpe.pieces_of(x), x.count(" ") + 1
-                ids, decoded = " ".join(map(ids_of.__getitem__, words)), " ".join(map(pieces_of.__getitem__, words))
-                out[0].append(sum(map(count_of.__getitem__, words)))
+                try:
+                    ids = " ".join([ids_of[w] for w in words])
+                except KeyError:
+                    missing = [w for w in dict.fromkeys(words) if w not in ids_of]
+                    know(zip(missing, bpe.packed(missing), strict=True))
+                    ids = " ".join([ids_of[w] for w in words])
+                decoded = " ".join([pieces_of[w] for w in words])
+                out[0].append(ids.count(" ") + 1 if ids else 0)
                 out[1].append(hashlib.sha256(ids.encode()).hexdigest())
                 out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
