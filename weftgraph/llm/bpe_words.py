@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import WORD_BPE_JSON, new_folder, table, tokenizer_path, worker_cache
+from weftgraph.llm.common import WORD_BPE_JSON, lean, new_folder, table, tokenizer_path, worker_cache
 from weftgraph.llm.token_files import filesystem
 
 #: Characters of text in a block; bounds the entries that a task holds at once.
@@ -187,7 +187,7 @@ def block_words(docs: DataFrame, path: str, buckets: int, chars: int = BLOCK_CHA
                     found.update(bpe.words(t))
         yield rows()
 
-    return docs.mapInArrow(split, "part int, block int, bucket int, words binary")
+    return docs.mapInArrow(lean(split), "part int, block int, bucket int, words binary")
 
 
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
@@ -213,7 +213,7 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
     return (
         words.repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(encode, "part int, block int, words binary, ids binary")
+        .mapInArrow(lean(encode), "part int, block int, words binary, ids binary")
     )
 
 
@@ -296,7 +296,7 @@ def encode_decode(
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return own.mapInArrow(
-        place,
+        lean(place),
         f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"
         + ", ids array<long>, decoded string" * with_ids,
     )

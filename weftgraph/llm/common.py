@@ -75,6 +75,27 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def lean(f):
+    """f over batches, returning freed memory to the system when the task ends: idle
+    Python workers are kept beside the executor's own memory."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
+
+
 class ByteBpe:
     """Ids of the byte-level BPE file, as the tokenizers library gives them with
     ``add_special_tokens=False``.

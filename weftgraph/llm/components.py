@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import staged
+from weftgraph.llm.common import lean, staged
 
 
 def least_labels(a: Iterable[int], b: Iterable[int]) -> dict[int, int]:
@@ -54,7 +54,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
             hi, lo = zip(*pairs[i : i + 100_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["hi", "lo"])
 
-    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(contract, "hi long, lo long")
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(lean(contract), "hi long, lo long")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

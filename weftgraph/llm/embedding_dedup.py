@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import staged, table
+from weftgraph.llm.common import lean, staged, table
 from weftgraph.llm.components import connected_components
 
 COSINE = 0.95
@@ -128,7 +128,7 @@ def links(kinds: DataFrame, cosine: float = COSINE, per_pivot: int = PER_PIVOT,
                 ["cls", "n", "v", "cell", "d"],
             )
 
-    cells = staged(kinds.select("cls", "n", "v").mapInArrow(assign, schema + ", cell int, d double"), "cells")
+    cells = staged(kinds.select("cls", "n", "v").mapInArrow(lean(assign), schema + ", cell int, d double"), "cells")
     stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("d").alias("far")).collect()  # a row per pivot
     blocks = np.zeros(len(pivots), np.int64)
     far = np.full(len(pivots), -1.0)
@@ -228,10 +228,10 @@ def links(kinds: DataFrame, cosine: float = COSINE, per_pivot: int = PER_PIVOT,
             yield from inside(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return (
-        cells.mapInArrow(deal, "cell int, part int, core int, " + schema)
+        cells.mapInArrow(lean(deal), "cell int, part int, core int, " + schema)
         .repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "cell", "part")
         .sortWithinPartitions("cell", "part", F.desc("core"))
-        .mapInArrow(compare, out)
+        .mapInArrow(lean(compare), out)
     )
 
 

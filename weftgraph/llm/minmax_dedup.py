@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import staged, table
+from weftgraph.llm.common import lean, staged, table
 from weftgraph.llm.components import connected_components
 
 WORDS = 4
@@ -47,7 +47,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -132,7 +132,7 @@ def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     ["doc_id", "n_shingles", "s1", "s2", "bands"],
                 )
 
-    return docs.mapInArrow(sign, f"doc_id {id_type}, n_shingles long, s1 long, s2 long, bands array<long>")
+    return docs.mapInArrow(lean(sign), f"doc_id {id_type}, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
@@ -159,7 +159,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFra
                 )
 
     texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    sets = texts.mapInArrow(hashed, f"doc_id {id_type}, s1 long, s2 long, shingles array<long>")
+    sets = texts.mapInArrow(lean(hashed), f"doc_id {id_type}, s1 long, s2 long, shingles array<long>")
     # Rows repeated with their id and text give the same set: one of them is enough.
     return (
         sets.join(wanted, ["doc_id", "s1", "s2"])
@@ -266,7 +266,7 @@ def block_links(open_: DataFrame, sets: DataFrame, percent: int = PERCENT, block
         .select("key", "part", "core", "cls", "component", "shingles")
         .repartition(n, "key", "part")
         .sortWithinPartitions("key", "part", F.desc("core"))
-        .mapInArrow(compare, "a long, b long")
+        .mapInArrow(lean(compare), "a long, b long")
     )
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import byte_bpe, byte_bpe_paths, staged, table
+from weftgraph.llm.common import byte_bpe, byte_bpe_paths, lean, staged, table
 
 CAPACITY, END_ID = 1024, 2
 
@@ -74,7 +74,7 @@ def pieces(
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        cut, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+        lean(cut), f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     )
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import held_out, labelled_sample, logistic_fit, table
+from weftgraph.llm.common import held_out, labelled_sample, lean, logistic_fit, table
 
 DICTIONARY_BYTES = 1_000_000
 DICTIONARY_ROWS = 3_000
@@ -95,7 +95,7 @@ def _features_frame(docs: DataFrame, model: QualityModel, keep: str) -> DataFram
                 [batch.column(1), *(pa.array(x[:, i], pa.float64()) for i in range(4))], [keep, "f0", "f1", "f2", "f3"]
             )
 
-    return docs.mapInArrow(run, f"{keep} {kind}, f0 double, f1 double, f2 double, f3 double")
+    return docs.mapInArrow(lean(run), f"{keep} {kind}, f0 double, f1 double, f2 double, f3 double")
 
 
 def fit(
@@ -164,7 +164,7 @@ def scored(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: s
 
     return (
         docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-        .mapInArrow(run, f"doc_id {id_type}, score double")
+        .mapInArrow(lean(run), f"doc_id {id_type}, score double")
         .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
     )
 
@@ -180,7 +180,7 @@ def accepted(docs: DataFrame, model: QualityModel, text: str = "text", threshold
             s = own.scores(own.features(v.as_py() for v in batch.column(at)))
             yield batch.filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import byte_bpe, byte_bpe_paths, prefix_offsets, staged, table
+from weftgraph.llm.common import byte_bpe, byte_bpe_paths, lean, prefix_offsets, staged, table
 
 
 def length_histogram(
@@ -42,7 +42,7 @@ def length_histogram(
 
     return (
         docs.select(F.col(text).cast("string").alias("text"))
-        .mapInArrow(count, "n_tokens long, n long")
+        .mapInArrow(lean(count), "n_tokens long, n long")
         .groupBy("n_tokens")
         .agg(F.sum("n").alias("n_docs"))
     )

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import byte_bpe, byte_bpe_paths, new_folder, prefix_offsets, staged, table
+from weftgraph.llm.common import byte_bpe, byte_bpe_paths, lean, new_folder, prefix_offsets, staged, table
 
 IDS_MAGIC, INDEX_MAGIC = b"WGTOKID", b"WGTOKIX1"
 END_ID = 0
@@ -238,7 +238,7 @@ def write_token_files(
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     order = ["doc_id", F.crc32(F.col("text").cast("binary"))]  # so that rows with one key can be dealt out as well
-    return staged(own.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, MANIFEST), "manifest")
+    return staged(own.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(write), MANIFEST), "manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -277,7 +277,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     return (
         starts.select("path", "first")
         .repartition(n, "path")
-        .mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        .mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
     )
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import held_out, labelled_sample, logistic_fit, staged, table
+from weftgraph.llm.common import held_out, labelled_sample, lean, logistic_fit, staged, table
 
 SAMPLE_ROWS = 5_000
 ENTRIES = 600
@@ -69,7 +69,7 @@ def entry_counts(sample: DataFrame) -> DataFrame:
             )
 
     return (
-        sample.mapInArrow(count, "entry string, toxic long, clean long")
+        sample.mapInArrow(lean(count), "entry string, toxic long, clean long")
         .groupBy("entry")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     )
@@ -87,7 +87,7 @@ def distinct_texts(sample: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["text", "label", "key"])
 
-    keyed = sample.mapInArrow(sketch, "text string, label int, key long")
+    keyed = sample.mapInArrow(lean(sketch), "text string, label int, key long")
     alone = keyed.filter("key >= 0").groupBy("key", "label").agg(F.min("text").alias("text")).select("text", "label")
     return alone.unionByName(keyed.filter("key < 0").select("text", "label"))
 
@@ -269,7 +269,7 @@ def fit(
                 ["found", "size", "label"],
             )
 
-    rows = drawn.mapInArrow(find, "found array<int>, size long, label int").collect()
+    rows = drawn.mapInArrow(lean(find), "found array<int>, size long, label int").collect()
     rows.sort(key=lambda r: (r["label"], r["size"], list(r["found"])))
     found, sizes = [set(r["found"]) for r in rows], [r["size"] for r in rows]
     model.voters, m = votes(found, sizes, model.entries)
@@ -303,7 +303,7 @@ def scored(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text:
 
     return (
         docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-        .mapInArrow(run, f"doc_id {id_type}, score double")
+        .mapInArrow(lean(run), f"doc_id {id_type}, score double")
         .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
     )
 
@@ -319,7 +319,7 @@ def accepted(docs: DataFrame, model: ToxicityModel, text: str = "text", threshol
         for batch in batches:
             yield batch.filter(pa.array([own.score(finder(v.as_py())) < threshold for v in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
