@@ -44,7 +44,8 @@ def match_topics(published: DataFrame, subscribed: DataFrame, most: int = QUEUE_
     wild = F.col("pattern").rlike(r"[*#+]")
     plain = published.join(subscribed.filter(~wild), F.col("topic") == F.col("pattern")).select("src", "dst", F.col("topic").alias("address"))
     escaped = F.regexp_replace("pattern", r"([.^$|()\[\]{}\\?])", r"\\$1")
-    regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(escaped, r"\*", "[^.]+"), "#", ".*"), r"\+", "[^/]+"), F.lit("$"))
+    one = F.regexp_replace(escaped, r"\+", "[^/]+")  # first, as the others bring in signs of their own
+    regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(one, r"\*", "[^.]+"), "#", ".*"), F.lit("$"))
     patterns = subscribed.filter(wild).select("pattern", regex.alias("rx")).distinct()
     topics = published.select("topic").distinct()
     pairs = topics.join(patterns, F.expr("topic rlike rx")).select("topic", "pattern")

@@ -13,7 +13,7 @@ def forbidden(pairs: DataFrame, nodes: DataFrame, selector_from: str, selector_t
     """Distinct links (src, dst) from one selection into another."""
     a = select_nodes(nodes, selector_from).select(F.col("id").alias("src"))
     b = select_nodes(nodes, selector_to).select(F.col("id").alias("dst"))
-    return pairs.select("src", "dst").distinct().join(a, "src", "left_semi").join(b, "dst", "left_semi")
+    return pairs.select("src", "dst").distinct().join(a, "src", "left_semi").join(b, "dst", "left_semi").select("src", "dst")
 
 
 def unit_pairs(pairs: DataFrame, nodes: DataFrame, unit: str) -> DataFrame:

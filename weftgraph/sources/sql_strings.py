@@ -1,0 +1,26 @@
+"""Tables that a SQL string reads and writes."""
+
+from __future__ import annotations
+
+import re
+
+#: Words that are no table names.
+_KEYWORDS = {"select", "where", "set", "values", "from", "join", "on", "as", "and", "or", "not", "null", "lateral", "unnest", "only", "table", "if", "exists", "into"}
+_START = re.compile(r"\s*(SELECT|INSERT|UPDATE|DELETE|REPLACE|MERGE|CREATE|ALTER|DROP|TRUNCATE|WITH|select|insert|update|delete|replace|merge|create|alter|drop|truncate|with)\b")
+_NAME = r"[`\"\[]?([A-Za-z_][\w.$]*)[`\"\]]?"
+_WRITE = re.compile(r"\b(?:insert\s+(?:or\s+\w+\s+)?into|replace\s+into|update|delete\s+from|merge\s+into|truncate\s+(?:table\s+)?|(?:create|alter|drop)\s+table\s+(?:if\s+(?:not\s+)?exists\s+)?)\s*" + _NAME, re.I)
+_READ = re.compile(r"\b(?:from|join|using)\s+" + _NAME, re.I)
+_COMMON = re.compile(r"(?:\bwith\s+(?:recursive\s+)?|,\s*)([A-Za-z_]\w*)\s*(?:\([^)]*\))?\s+as\s*\(", re.I)
+
+
+def sql_tables(text: str) -> list[tuple[str, str]]:
+    """Distinct (role, table): write before read, a written table is not read as well.
+    Only strings that start with a SQL verb all in capitals or all in small letters."""
+    if not _START.match(text) or len(text) > 20_000:
+        return []
+    local = {m.lower() for m in _COMMON.findall(text)}
+    name = lambda m: m.split(".")[-1]
+    ok = lambda m: m.lower() not in _KEYWORDS and m.lower() not in local
+    written = list(dict.fromkeys(name(m) for m in _WRITE.findall(text) if ok(m)))
+    read = list(dict.fromkeys(name(m) for m in _READ.findall(text) if ok(m)))
+    return [("write", t) for t in written] + [("read", t) for t in read if t not in written]
