@@ -78,7 +78,7 @@ def match_files(writers: DataFrame, readers: DataFrame, most: int = FILE_FAN_OUT
     name = F.element_at(F.split("path", "/"), -1)
     w = writers.select(F.col("node").alias("src"), name.alias("address")).distinct()
     r = readers.select(F.col("node").alias("dst"), name.alias("address")).distinct()
-    links = w.join(r, "address").filter("src <> dst")
+    links = w.join(r, "address").filter("src <> dst").select("src", "dst", "address")
     n = F.count(F.lit(1)).over(Window.partitionBy("address"))
     return links.withColumn("_n", n).filter(F.col("_n") <= most).drop("_n")
 
@@ -96,7 +96,8 @@ def match_registrations(calls: DataFrame, registrations: DataFrame, members: Dat
 
 def match_events(raised: DataFrame, handled: DataFrame) -> DataFrame:
     """(src, dst, event): raisers (src, event) to handlers (dst, event), each once."""
-    return raised.select("src", "event").distinct().join(handled.select(F.col("handler").alias("dst"), "event").distinct(), "event")
+    handlers = handled.select(F.col("handler").alias("dst"), "event").distinct()
+    return raised.select("src", "event").distinct().join(handlers, "event").select("src", "dst", "event")
 
 
 def match_stubs(calls: DataFrame, servers: DataFrame) -> DataFrame:
