@@ -115,3 +115,38 @@ def match_stubs(calls: DataFrame, servers: DataFrame) -> DataFrame:
         .filter("k = 1")
         .select("src", "dst")
     )
+
+
+def match_keys(writers: DataFrame, readers: DataFrame) -> DataFrame:
+    """(src, dst, hits, precision): writers (src, parts) to readers (dst, parts) of composed
+    keys, a hole being an empty part, where at least two fixed parts agree at one alignment
+    and none disagrees.
+
+    Pairs that can fit share a fixed part, so they meet on parts, not all with all; only
+    they are aligned."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    w = writers.select("src", "parts").distinct()
+    r = readers.select(F.col("dst"), F.col("parts").alias("read")).distinct()
+    fixed = lambda df, c, out: df.select("*", F.explode(F.array_distinct(F.filter(c, lambda x: x != ""))).alias(out))
+    pairs = (
+        fixed(w, F.col("parts"), "p").join(fixed(r, F.col("read"), "p"), "p").groupBy("src", "dst", "parts", "read")
+        .agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("src", "dst", "parts", "read")
+    )
+    kinds = {k: t for k, t in pairs.dtypes}
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from weftgraph.sources.keyshape import alignment, fit_precision
+
+        for batch in batches:
+            found = [alignment(tuple(a), tuple(b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = pa.array([f is not None for f in found], pa.bool_())
+            hits = [f[1] for f in found if f]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(hits, pa.int64()), pa.array([fit_precision(h) for h in hits], pa.string())],
+                ["src", "dst", "hits", "precision"],
+            )
+
+    return pairs.mapInArrow(align, f"src {kinds['src']}, dst {kinds['dst']}, hits long, precision string")

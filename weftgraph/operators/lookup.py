@@ -154,3 +154,33 @@ def select_nodes(nodes: DataFrame, selector: str) -> DataFrame:
     if form not in by:
         raise ValueError(f"unknown selector: {selector}")
     return nodes.filter(by[form])
+
+
+def modules_of_tests(files: DataFrame, share: float = 0.8) -> DataFrame:
+    """(module_id, tests, files): modules of which at least a share of the files (module_id,
+    is_test) are tests, or that are named so."""
+    named = F.lower(F.col("module_id").cast("string")).rlike("(^|[./_-])(tests?|specs?)([./_-]|$)")
+    by = files.groupBy("module_id").agg(F.count_if("is_test").alias("tests"), F.count(F.lit(1)).alias("files"))
+    return by.filter((F.col("tests") >= share * F.col("files")) | named)
+
+
+def product_code(ids: DataFrame, ancestors: DataFrame, callables: DataFrame, tests: DataFrame) -> DataFrame:
+    """(id): callables in or under the given nodes, tests left out; ancestors is (id, ancestor)."""
+    inside = ancestors.join(ids.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id").distinct()
+    return inside.join(callables.select("id"), "id", "left_semi").join(tests.select("id"), "id", "left_anti")
+
+
+def purposes(nodes: DataFrame, notes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, purpose): a note of a person, else a fresh inferred one, else the declared text
+    (id, doc), cut to its first sentence."""
+    from weftgraph.functions import first_sentence
+
+    said = notes.filter("layer = 'intent' or not stale").groupBy("id").agg(
+        F.max_by("value", F.struct((F.col("layer") == "intent").alias("i"), F.col("value"))).alias("note")
+    )
+    return (
+        nodes.select("id")
+        .join(said, "id", "left")
+        .join(docs.groupBy("id").agg(F.min("doc").alias("doc")), "id", "left")
+        .select("id", first_sentence(F.coalesce("note", "doc")).alias("purpose"))
+    )

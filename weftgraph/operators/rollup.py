@@ -104,3 +104,42 @@ def field_access(access: DataFrame) -> DataFrame:
         F.sum("n").cast("long").alias("uses"),
         F.min("line").cast("long").alias("first_line"),
     )
+
+
+def cross_repo(links: DataFrame, repos: DataFrame) -> DataFrame:
+    """(from_repo, to_repo, kind, n): links (kind, src, dst) between repositories (id, repo)."""
+    r = repos.select("id", "repo")
+    return (
+        links.filter("kind <> 'contains'")
+        .join(r.select(F.col("id").alias("src"), F.col("repo").alias("from_repo")), "src")
+        .join(r.select(F.col("id").alias("dst"), F.col("repo").alias("to_repo")), "dst")
+        .filter("from_repo <> to_repo")
+        .groupBy("from_repo", "to_repo", "kind")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def systems(groups: DataFrame, names: DataFrame) -> DataFrame:
+    """(system, members, name): groups (system, member) with their name (system, value,
+    layer), a person's before an inferred one."""
+    said = names.groupBy("system").agg(
+        F.max_by("value", F.struct((F.col("layer") == "intent").alias("i"), F.col("value"))).alias("name")
+    )
+    return groups.groupBy("system").agg(F.countDistinct("member").alias("members")).join(said, "system", "left")
+
+
+def part_links(calls: DataFrame, functions: DataFrame, part: str = "type_id") -> DataFrame:
+    """(part, members, inside, out, into): call pairs of each part inside it, out of it and
+    into it, and its size."""
+    size = functions.groupBy(F.col(part).alias("part")).agg(F.count(F.lit(1)).alias("members"))
+    both = _ends(calls.select("src", "dst").distinct(), functions, part)
+    a, b = F.col(f"from_{part}"), F.col(f"to_{part}")
+    rows = both.select(a.alias("part"), (a == b).alias("inside"), F.lit(True).alias("out")).unionByName(
+        both.filter(a != b).select(b.alias("part"), F.lit(False).alias("inside"), F.lit(False).alias("out"))
+    )
+    sums = rows.groupBy("part").agg(
+        F.count_if("inside").alias("inside"),
+        F.count_if(F.col("out") & ~F.col("inside")).alias("out"),
+        F.count_if(~F.col("out")).alias("into"),
+    )
+    return size.join(sums, "part", "left").na.fill(0, ["inside", "out", "into"])

@@ -323,3 +323,16 @@ def label_rounds(edges: DataFrame, rounds: int = 5) -> DataFrame:
         pick = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("w"), "label"))
         label = staged(weight.withColumn("k", pick).filter("k = 1").select("id", "label"), "labels")
     return label
+
+
+def explained_path(steps: DataFrame, calls: DataFrame, flow, helpers: int = 8, most: int = 40) -> DataFrame:
+    """(seq, fn, callers) of one flow in order, without helpers that many call."""
+    callers = calls.groupBy(F.col("dst").alias("fn")).agg(F.countDistinct("src").alias("callers"))
+    own = steps.filter(F.col("flow_id") == flow).join(callers, "fn", "left").na.fill(0, ["callers"])
+    return own.filter((F.col("callers") < helpers) | (F.col("seq") == 0)).select("seq", "fn", "callers").orderBy("seq").limit(most)
+
+
+def path_without_data_first(start, goal, calls: DataFrame, channels: DataFrame, depth: int = 16) -> DataFrame:
+    """A shortest path over calls alone; only if there is none, over data channels as well."""
+    found = shortest_path(start, goal, calls, depth)
+    return shortest_path(start, goal, calls.select("src", "dst").unionByName(channels.select("src", "dst")), depth) if found.isEmpty() else found

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.functions import keyword_words, plural_stem, route_segments, search_words
+from weftgraph.functions import keyword_words, plural_stem, route_segments
 from weftgraph.operators import annotations as notes
-from weftgraph.operators import change, channels, communities, coverage, history, links, lookup, patterns, rollup, rules, textrank, traverse
+from weftgraph.operators import change, channels, communities, coverage, history, links, lookup, patterns, review, rollup, rules, textrank, traverse
 from weftgraph.plans.views import CUT, Views, sql
 from weftgraph.runtime import staged
 
@@ -878,3 +878,202 @@ def incremental_equals_full(v: Views) -> DataFrame:
     old = calls.filter(~late).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     new = merged_counts(old, calls.filter(late), ["src", "dst"])
     return change.differences(full, new)
+
+
+# Systems, parts, tests, reviews
+
+
+@query(
+    "SELECT a.n_regionkey AS from_repo, b.n_regionkey AS to_repo, l_returnflag AS kind, count(*) AS n FROM (SELECT DISTINCT l_returnflag, o_custkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey) t JOIN customer ON c_custkey = o_custkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE a.n_regionkey <> b.n_regionkey GROUP BY 1, 2, 3"
+)
+def cross_repo(v: Views) -> DataFrame:
+    """Customers call suppliers; their regions are the repositories."""
+    own = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
+    orders = v.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    found = v.table("lineitem").join(orders, "l_orderkey").select(
+        F.col("l_returnflag").alias("kind"), own("c", "o_custkey").alias("src"), own("s", "l_suppkey").alias("dst")
+    )
+    region = v.table("nation").select(F.col("n_nationkey").alias("n"), F.col("n_regionkey").alias("repo"))
+    repos = v.table("customer").select(own("c", "c_custkey").alias("id"), F.col("c_nationkey").alias("n")).unionByName(
+        v.table("supplier").select(own("s", "s_suppkey").alias("id"), F.col("s_nationkey").alias("n"))
+    )
+    return rollup.cross_repo(found.distinct(), repos.join(region, "n").select("id", "repo"))
+
+
+@query(
+    "SELECT n_regionkey AS system, count(DISTINCT n_nationkey) AS members, max(r_name) AS name FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1"
+)
+def systems_list(v: Views) -> DataFrame:
+    groups = v.table("nation").select(F.col("n_regionkey").alias("system"), F.col("n_nationkey").alias("member"))
+    r = v.table("region")
+    names = r.select(F.col("r_regionkey").alias("system"), F.col("r_name").alias("value"), F.lit("intent").alias("layer")).unionByName(
+        r.select(F.col("r_regionkey").alias("system"), F.lit("zzz").alias("value"), F.lit("inferred").alias("layer"))
+    )
+    return rollup.systems(groups, names)
+
+
+@query(
+    "WITH p AS (SELECT DISTINCT src, dst FROM g_calls), e AS (SELECT s.type_id AS a, d.type_id AS b FROM p JOIN g_fn s ON s.id = p.src JOIN g_fn d ON d.id = p.dst) SELECT f.type_id AS part, count(*) AS members, (SELECT count(*) FROM e WHERE a = f.type_id AND b = f.type_id) AS inside, (SELECT count(*) FROM e WHERE a = f.type_id AND b <> f.type_id) AS out, (SELECT count(*) FROM e WHERE b = f.type_id AND a <> f.type_id) AS into FROM g_fn f GROUP BY 1",
+    "g_calls", "g_fn",
+)
+def outline_describe(v: Views) -> DataFrame:
+    return rollup.part_links(v.calls(), v.functions())
+
+
+@query(
+    "SELECT user_id AS module_id, count(*) FILTER (event_type = 'view') AS tests, count(*) AS files FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'view') >= 0.25 * count(*)"
+)
+def test_places(v: Views) -> DataFrame:
+    files = v.table("events").select(F.col("user_id").alias("module_id"), (F.col("event_type") == "view").alias("is_test"))
+    return lookup.modules_of_tests(files, 0.25)
+
+
+@query(
+    "SELECT concat('c', c_custkey) AS id FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2 AND c_acctbal >= 0"
+)
+def product_code(v: Views) -> DataFrame:
+    tree = _tree(v)
+    asked = v.spark.range(1).select(F.lit("r2").alias("id"))
+    tests = v.table("customer").filter("c_acctbal < 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
+    return lookup.product_code(asked, traverse.ancestors(tree.select("id", "parent_id")), tree.filter("kind = 'callable'"), tests)
+
+
+@query(
+    "SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN concat('note on ', p_name) WHEN p_size % 3 = 1 THEN concat('guess at ', p_name) ELSE concat('made of ', p_name) END AS purpose FROM part"
+)
+def purposes(v: Views) -> DataFrame:
+    p = v.table("part").withColumn("id", F.col("p_partkey"))
+    say = lambda k, text, layer: p.filter(F.col("p_size") % 3 == k).select(
+        "id", F.concat(F.lit(text), "p_name").alias("value"), F.lit(layer).alias("layer"), F.lit(False).alias("stale")
+    )
+    said = say(0, "note on ", "intent").unionByName(say(0, "zz ", "inferred")).unionByName(say(1, "guess at ", "inferred"))
+    return lookup.purposes(p, said, p.select("id", F.concat(F.lit("made of "), "p_name").alias("doc")))
+
+
+@query(
+    "WITH a AS (SELECT DISTINCT l_orderkey AS site, l_partkey AS dst FROM lineitem WHERE l_linenumber <= 3), b AS (SELECT DISTINCT l_orderkey AS site, l_partkey AS dst FROM lineitem WHERE l_linenumber BETWEEN 2 AND 4) SELECT coalesce(a.site, b.site) AS site, coalesce(a.dst, b.dst) AS dst, CASE WHEN a.site IS NOT NULL AND b.site IS NOT NULL THEN 'confirmed' WHEN a.site IS NULL THEN 'added' WHEN a.site IN (SELECT site FROM b) THEN 'removed' ELSE 'kept' END AS state FROM a FULL OUTER JOIN b ON a.site = b.site AND a.dst = b.dst"
+)
+def compiler_links(v: Views) -> DataFrame:
+    lines = v.table("lineitem").select(F.col("l_orderkey").alias("site"), F.col("l_partkey").alias("dst"), "l_linenumber")
+    return review.confirmed_links(lines.filter("l_linenumber <= 3"), lines.filter("l_linenumber between 2 and 4"), ["site"])
+
+
+@query(
+    "SELECT path, line, col FROM (SELECT *, row_number() OVER (PARTITION BY path, line ORDER BY col) AS k FROM (SELECT o_custkey AS path, year(o_orderdate) AS line, o_orderkey AS col FROM orders)) WHERE k <= 3 ORDER BY k, path, line, col LIMIT 30"
+)
+def mutants_chosen(v: Views) -> DataFrame:
+    sites = v.table("orders").select(
+        F.col("o_custkey").alias("path"), F.year("o_orderdate").cast("long").alias("line"), F.col("o_orderkey").alias("col")
+    )
+    return review.chosen_sites(sites)
+
+
+@query(
+    "WITH o AS (SELECT user_id AS scenario, event_id % 7 AS mutant, bool_or(event_type = 'error') AS dead FROM events GROUP BY 1, 2), s AS (SELECT scenario, count(*) FILTER (dead) AS killed, count(*) FILTER (NOT dead) AS survived FROM o GROUP BY 1) SELECT *, CASE WHEN survived = 0 THEN 'kills all' WHEN killed = 0 THEN 'kills none' ELSE 'kills some' END AS mark FROM s"
+)
+def mutants_marked(v: Views) -> DataFrame:
+    e = v.table("events").select(
+        F.col("user_id").alias("scenario"),
+        (F.col("event_id") % 7).alias("mutant"),
+        F.when(F.col("event_type") == "error", "fail").otherwise("pass").alias("status"),
+    )
+    return review.mutant_marks(e)
+
+
+@query(
+    "WITH h AS (SELECT user_id AS decision, CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'dismissed' ELSE 'open' END AS r FROM events), s AS (SELECT decision, count(*) AS hits, count(*) FILTER (r = 'accepted') AS accepted, count(*) FILTER (r = 'dismissed') AS dismissed FROM h GROUP BY 1) SELECT *, CASE WHEN accepted >= 2 AND accepted > dismissed THEN 'retired' ELSE 'active' END AS status FROM s"
+)
+def learnings_status(v: Views) -> DataFrame:
+    r = F.when(F.col("event_type") == "purchase", "accepted").when(F.col("event_type") == "error", "dismissed").otherwise("open")
+    return review.decision_status(v.table("events").select(F.col("user_id").alias("decision"), r.alias("resolution")))
+
+
+@query(
+    """WITH f AS (SELECT p_partkey AS finding, string_split(p_name, ' ') AS w, p_brand, p_type FROM part), d AS (SELECT DISTINCT p_name AS decision, string_split(p_name, ' ') AS w, p_type AS scope FROM part WHERE p_size < 10),
+    m AS (SELECT finding, decision, CAST(len(list_intersect(f.w, d.w)) AS DOUBLE) / len(list_distinct(f.w || d.w)) AS similarity FROM f JOIN d ON d.scope = f.p_type)
+    SELECT finding, decision, 'module' AS level, similarity FROM (SELECT *, row_number() OVER (PARTITION BY finding ORDER BY similarity DESC, decision) AS k FROM m WHERE similarity >= 0.45) WHERE k = 1"""
+)
+def learnings_best(v: Views) -> DataFrame:
+    p = v.table("part").withColumn("words", F.split("p_name", " "))
+    none = F.lit(None).cast("string")
+    findings = p.select(
+        F.col("p_partkey").alias("finding"), "words", none.alias("node"), none.alias("type"), F.col("p_brand").alias("file"), F.col("p_type").alias("module")
+    )
+    said = p.filter("p_size < 10").select(F.col("p_name").alias("decision"), "words", F.col("p_type").alias("scope"), F.lit("module").alias("level"))
+    return review.best_decisions(findings, said.distinct())
+
+
+@query(
+    "WITH n AS (SELECT DISTINCT o_orderpriority AS part, o_custkey AS member FROM orders WHERE o_orderstatus = 'F'), m AS (SELECT DISTINCT o_orderpriority AS part, o_custkey AS member FROM orders WHERE o_orderstatus <> 'F') SELECT n.part, count(m.member) AS kept, count(*) AS total, count(m.member) < 0.5 * count(*) AS stale FROM n LEFT JOIN m ON m.part = n.part AND m.member = n.member GROUP BY 1"
+)
+def part_names_stale(v: Views) -> DataFrame:
+    o = v.table("orders").select(F.col("o_orderpriority").alias("part"), F.col("o_custkey").alias("member"), "o_orderstatus")
+    return review.stale_parts(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus <> 'F'"))
+
+
+@query(
+    "WITH t AS (SELECT o_orderkey AS task, count(*) FILTER (l_returnflag <> 'N') AS named, count(*) FILTER (l_returnflag <> 'N' AND l_quantity > 10) AS touched, count(*) FILTER (l_quantity > 49) AS contradicted, count(*) FILTER (l_discount > 0.05) AS proven FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT task, CASE WHEN contradicted > 0 THEN 'contradicted' WHEN named = 0 THEN 'needs a person' WHEN touched = 0 THEN 'contradicted' WHEN touched < named THEN 'partial' WHEN proven > 0 THEN 'proven' ELSE 'inconclusive' END AS verdict FROM t"
+)
+def task_verdict(v: Views) -> DataFrame:
+    named = F.col("l_returnflag") != "N"
+    t = v.table("lineitem").join(v.table("orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").groupBy(F.col("l_orderkey").alias("task")).agg(
+        F.count_if(named).alias("named"),
+        F.count_if(named & (F.col("l_quantity") > 10)).alias("touched"),
+        F.count_if(F.col("l_quantity") > 49).alias("contradicted"),
+        F.count_if(F.col("l_discount") > 0.05).alias("proven"),
+    )
+    return review.task_verdicts(t)
+
+
+@query(
+    f"WITH e AS ({_TYPE_PAIRS}), u AS (SELECT to_m, count(DISTINCT from_m) AS n FROM e WHERE from_m <> to_m GROUP BY 1) SELECT row_number() OVER (ORDER BY used_by DESC, module_id) AS stop, module_id, used_by FROM (SELECT t.type_id AS module_id, coalesce(u.n, 0) AS used_by FROM (SELECT DISTINCT type_id FROM g_fn) t LEFT JOIN u ON u.to_m = t.type_id ORDER BY used_by DESC, module_id LIMIT 12)",
+    "g_calls", "g_fn",
+)
+def tour(v: Views) -> DataFrame:
+    pairs = rules.unit_pairs(v.calls(), v.functions(), "type_id")
+    types = v.functions().select(F.col("type_id").alias("module_id"))
+    return review.tour(types, pairs.select(F.col("from_m").alias("from_module"), F.col("to_m").alias("to_module")))
+
+
+@query(
+    "SELECT f.id, coalesce(s.n, 0) AS flows, coalesce(c.n, 0) AS callers FROM g_fn f LEFT JOIN (SELECT fn, count(DISTINCT flow_id) AS n FROM g_steps GROUP BY 1) s ON s.fn = f.id LEFT JOIN (SELECT dst, count(DISTINCT src) AS n FROM g_calls GROUP BY 1) c ON c.dst = f.id",
+    "g_fn", "g_steps", "g_calls",
+)
+def hot_functions(v: Views) -> DataFrame:
+    return review.hot_functions(v.functions(), v.steps(), v.calls())
+
+
+@query(
+    f"WITH b AS (SELECT DISTINCT l_partkey s, l_suppkey d FROM lineitem WHERE l_shipdate < {CUTTIME}), a AS (SELECT DISTINCT l_partkey s, l_suppkey d FROM lineitem WHERE l_shipdate >= {CUTTIME}) SELECT coalesce(a.s, b.s) AS src, coalesce(a.d, b.d) AS dst, CASE WHEN b.s IS NULL THEN 'added' ELSE 'removed' END AS state FROM b FULL OUTER JOIN a ON a.s = b.s AND a.d = b.d WHERE (a.s IS NULL OR b.s IS NULL) AND coalesce(a.s, b.s) IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO')"
+)
+def edge_changes(v: Views) -> DataFrame:
+    b, a = _halves(v, F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return review.edge_changes(b, a, v.functions().filter("module_id = 'PROMO'"))
+
+
+@query(
+    "SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND NOT EXISTS (SELECT 1 FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE l.l_linenumber > 1 AND o.o_custkey = orders.o_custkey AND l.l_suppkey = lineitem.l_suppkey)"
+)
+def unbacked_arrows(v: Views) -> DataFrame:
+    both = v.table("lineitem").join(v.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    pair = [F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")]
+    return review.unbacked(both.filter("l_linenumber = 1").select(*pair), both.filter("l_linenumber > 1").select(*pair))
+
+
+@query(
+    "SELECT CAST(seq AS BIGINT) AS seq, fn, coalesce(n, 0) AS callers FROM g_steps LEFT JOIN (SELECT dst, count(DISTINCT src) AS n FROM g_calls GROUP BY 1) c ON c.dst = fn WHERE flow_id = 7 AND (coalesce(n, 0) < 20 OR seq = 0) ORDER BY seq LIMIT 40",
+    "g_steps", "g_calls",
+)
+def explain_path(v: Views) -> DataFrame:
+    return _long(traverse.explained_path(v.steps(), v.calls(), 7, 20), "seq")
+
+
+@query(
+    "WITH w AS (SELECT DISTINCT p_partkey AS src, [split_part(p_name, ' ', 1), '', split_part(p_name, ' ', 2)] AS a FROM part), r AS (SELECT DISTINCT concat(split_part(p_name, ' ', 1), ':', p_size % 5) AS dst, [split_part(p_name, ' ', 1), 'x', split_part(p_name, ' ', 2)] AS b FROM part WHERE p_size < 5) SELECT src, dst, CAST(2 AS BIGINT) AS hits, 'guess' AS precision_ FROM w JOIN r ON w.a[1] = r.b[1] AND w.a[3] = r.b[3]"
+)
+def key_formats(v: Views) -> DataFrame:
+    first, second = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
+    p = v.table("part")
+    w = p.select(F.col("p_partkey").alias("src"), F.array(first, F.lit(""), second).alias("parts"))
+    r = p.filter("p_size < 5").select(F.concat(first, F.lit(":"), (F.col("p_size") % 5).cast("string")).alias("dst"), F.array(first, F.lit("x"), second).alias("parts"))
+    return channels.match_keys(w, r).withColumnRenamed("precision", "precision_")
