@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import normalised, plural_stem, route_segments
+from weftgraph.operators.links import guarded_join
 from weftgraph.schema import DB_FAN_OUT, FILE_FAN_OUT, QUEUE_FAN_OUT
 
 
@@ -42,19 +43,16 @@ def match_topics(published: DataFrame, subscribed: DataFrame, most: int = QUEUE_
     Plain names meet in an equi-join; only patterns with a wildcard are tried on topics,
     and they on distinct topics alone."""
     wild = F.col("pattern").rlike(r"[*#+]")
-    plain = published.join(subscribed.filter(~wild), F.col("topic") == F.col("pattern")).select("src", "dst", F.col("topic").alias("address"))
     escaped = F.regexp_replace("pattern", r"([.^$|()\[\]{}\\?])", r"\\$1")
     one = F.regexp_replace(escaped, r"\+", "[^/]+")  # first, as the others bring in signs of their own
     regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(one, r"\*", "[^.]+"), "#", ".*"), F.lit("$"))
     patterns = subscribed.filter(wild).select("pattern", regex.alias("rx")).distinct()
     topics = published.select("topic").distinct()
     pairs = topics.join(patterns, F.expr("topic rlike rx")).select("topic", "pattern")
-    loose = (
-        published.join(pairs, "topic").join(subscribed, "pattern").select("src", "dst", F.col("topic").alias("address"))
-    )
-    links = plain.unionByName(loose).distinct()
-    n = F.count(F.lit(1)).over(Window.partitionBy("address"))
-    return links.withColumn("_n", n).filter(F.col("_n") <= most).drop("_n")
+    plain = topics.join(subscribed.filter(~wild), F.col("topic") == F.col("pattern")).select("topic", "dst")
+    heard = plain.unionByName(pairs.join(subscribed, "pattern").select("topic", "dst")).distinct()
+    links = guarded_join(published.select("src", "topic").distinct(), heard, "topic", most)
+    return links.select("src", "dst", F.col("topic").alias("address"))
 
 
 def match_tables(writers: DataFrame, readers: DataFrame, most: int = DB_FAN_OUT) -> DataFrame:
@@ -62,14 +60,17 @@ def match_tables(writers: DataFrame, readers: DataFrame, most: int = DB_FAN_OUT)
     normalised names are heuristic; names equal only after folding plurals are guesses."""
     w = writers.select("src", normalised(F.col("table")).alias("w")).distinct()
     r = readers.select("dst", normalised(F.col("table")).alias("r")).distinct()
-    same = w.join(r, F.col("w") == F.col("r")).select("src", "dst", F.col("w").alias("address"), F.lit("heuristic").alias("precision"))
-    folded = (
-        w.withColumn("k", plural_stem(F.col("w"))).join(r.withColumn("k", plural_stem(F.col("r"))), "k").filter("w <> r")
-        .select("src", "dst", F.concat_ws(" ~ ", "w", "r").alias("address"), F.lit("guess").alias("precision"))
+    # Names are matched with their counts first; only pairs within the bound are expanded.
+    nw = w.groupBy("w").agg(F.count(F.lit(1)).alias("_a")).withColumn("_k", plural_stem(F.col("w")))
+    nr = r.groupBy("r").agg(F.count(F.lit(1)).alias("_b")).withColumn("_k", plural_stem(F.col("r")))
+    names = nw.join(nr, "_k").filter(F.col("_a") * F.col("_b") <= most).select("w", "r")
+    same = F.col("w") == F.col("r")
+    return names.join(w, "w").join(r, "r").select(
+        "src",
+        "dst",
+        F.when(same, F.col("w")).otherwise(F.concat_ws(" ~ ", "w", "r")).alias("address"),
+        F.when(same, "heuristic").otherwise("guess").alias("precision"),
     )
-    links = same.unionByName(folded)
-    n = F.count(F.lit(1)).over(Window.partitionBy("address"))
-    return links.withColumn("_n", n).filter(F.col("_n") <= most).drop("_n")
 
 
 def match_files(writers: DataFrame, readers: DataFrame, most: int = FILE_FAN_OUT) -> DataFrame:
@@ -78,9 +79,7 @@ def match_files(writers: DataFrame, readers: DataFrame, most: int = FILE_FAN_OUT
     name = F.element_at(F.split("path", "/"), -1)
     w = writers.select(F.col("node").alias("src"), name.alias("address")).distinct()
     r = readers.select(F.col("node").alias("dst"), name.alias("address")).distinct()
-    links = w.join(r, "address").filter("src <> dst").select("src", "dst", "address")
-    n = F.count(F.lit(1)).over(Window.partitionBy("address"))
-    return links.withColumn("_n", n).filter(F.col("_n") <= most).drop("_n")
+    return guarded_join(w, r, "address", most).filter("src <> dst").select("src", "dst", "address")
 
 
 def match_registrations(calls: DataFrame, registrations: DataFrame, members: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ def bulk_commits(changes: DataFrame, bulk: int = BULK_FILES) -> DataFrame:
 
 def usable(changes: DataFrame, bulk: int = BULK_FILES) -> DataFrame:
     """The changes of commits that are not bulk."""
-    size = F.count(F.lit(1)).over(Window.partitionBy("commit_id"))
-    return changes.withColumn("_files", size).filter(F.col("_files") <= bulk).drop("_files")
+    few = changes.groupBy("commit_id").agg(F.count(F.lit(1)).alias("_files")).filter(F.col("_files") <= bulk)
+    return changes.join(few.select("commit_id"), "commit_id", "left_semi")
 
 
 def renamed(changes: DataFrame) -> DataFrame:

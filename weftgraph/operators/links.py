@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.schema import DATA_CHANNELS
@@ -39,5 +39,16 @@ def reverse_adjacency(calls: DataFrame, edges: DataFrame | None = None) -> DataF
 
 
 def fan_out_guard(pairs: DataFrame, key: str, most: int) -> DataFrame:
-    """The pairs whose key has at most so many of them."""
-    return pairs.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).filter(F.col("_n") <= most).drop("_n")
+    """The pairs whose key has at most so many of them. Keys are counted by partial
+    aggregates, so that a key with very many pairs is gathered nowhere."""
+    few = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= most).select(key)
+    return pairs.join(few, key, "left_semi")
+
+
+def guarded_join(left: DataFrame, right: DataFrame, key: str, most: int) -> DataFrame:
+    """left joined with right on key, without the keys that would give more than ``most``
+    pairs: these are told by the counts of either side, before the join expands them."""
+    a = left.groupBy(key).agg(F.count(F.lit(1)).alias("_a"))
+    b = right.groupBy(key).agg(F.count(F.lit(1)).alias("_b"))
+    few = a.join(b, key).filter(F.col("_a") * F.col("_b") <= most).select(key)
+    return left.join(few, key, "left_semi").join(right, key)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import search_words
@@ -105,8 +105,8 @@ def exact_first(nodes: DataFrame, text: str, most: int, name: str = "name") -> D
 
 def neighbors_first_n(pairs: DataFrame, n: int) -> DataFrame:
     """(src, dst, sites, total): the first n neighbours of each node, and how many there are."""
-    total = F.count(F.lit(1)).over(Window.partitionBy("src"))
-    return first_per(pairs.withColumn("total", total), ["src"], [F.desc("sites"), "dst"], n).drop("_rank")
+    total = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("total"))
+    return first_per(pairs, ["src"], [F.desc("sites"), "dst"], n).drop("_rank").join(total, "src").select("src", "dst", "sites", "total")
 
 
 def edge_rows(access: DataFrame) -> DataFrame:
