@@ -222,3 +222,54 @@ def test_export(spark):
     n = spark.createDataFrame([("a",), ("b",)], "id string")
     e = spark.createDataFrame([("a", "b"), ("a", "z")], "src string, dst string")
     assert export.graph_json(n, e) == '{"edges": [{"dst": "b", "src": "a"}], "nodes": [{"id": "a"}, {"id": "b"}]}'
+
+
+def test_more_resolution(spark):
+    df = lambda rows_, schema: spark.createDataFrame(rows_, schema)
+    files = df([("a.py", True), ("b.py", True), ("c.py", False)], "path string, has_body boolean")
+    assert rows(resolution.script_entries(files, df([("a.py", "b.py")], "path string, dst string"))) == [("a.py",)]
+    methods = df([("m1", "d", "T"), ("m2", "d", "U")], "id string, folder string, receiver string")
+    types = df([("T1", "d", "T"), ("U1", "d", "U"), ("U2", "d", "U"), ("T2", "e", "T")], "id string, folder string, name string")
+    assert rows(resolution.attached_methods(methods, types)) == [("m1", "T1")]
+    imports = df([("x", "@app/core/a"), ("x", "@app/b"), ("x", "other")], "path string, target string")
+    aliases = df([("@app", "src"), ("@app/core", "src/kernel")], "prefix string, put string")
+    assert rows(resolution.aliased(imports, aliases)) == [("x", "@app/b", "src/b"), ("x", "@app/core/a", "src/kernel/a")]
+    tree = df([("src/lib/a.go",), ("src/util/b.go",), ("test/util/b.go",)], "path string")
+    asked = df([("m.go", "lib/a"), ("m.go", "util/b"), ("m.go", "src/util/b")], "path string, target string")
+    assert rows(resolution.by_path_suffix(asked, tree)) == [("m.go", "lib/a", "src/lib/a.go"), ("m.go", "src/util/b", "src/util/b.go")]
+    passed = df([("f", "x", "T")], "fn string, param string, type_id string")
+    handed = df([("f", "x", "g", "y"), ("g", "y", "h", "z"), ("h", "z", "f", "x")], "fn string, param string, to_fn string, to_param string")
+    assert rows(resolution.argument_types(passed, handed)) == [("f", "x", "T"), ("g", "y", "T"), ("h", "z", "T")]
+    calls_ = df([(1, "f", 2), (2, "g", 1)], "call int, name string, argc int")
+    cands = df([("f", "f2", 2, 2), ("f", "f9", 0, 99), ("g", "g1", 1, 1), ("g", "g2", 1, 1)], "name string, dst string, argc_min int, argc_max int")
+    assert rows(resolution.overload(calls_, cands)) == [(1, "f2")]
+    before = df([("r", "/old", "c1", "o")], "repo string, root string, first_commit string, origin string")
+    now = df([("/new", "c1", "o"), ("/x", "c2", "o")], "root string, first_commit string, origin string")
+    assert rows(resolution.moved_members(before, now)) == [("r", "/old", "/new")]
+    spawns = df([("s", "python tools/run.py --x"), ("t", "run.py")], "src string, command string")
+    programs = df([("p", "tools/run.py"), ("q", "other/run.py")], "dst string, path string")
+    assert rows(channels.match_spawns(spawns, programs)) == [("s", "p")]
+
+
+def test_more_text_and_reviews(spark):
+    from weftgraph.operators import lookup, review
+
+    df = lambda rows_, schema: spark.createDataFrame(rows_, schema)
+    known = df([("src/a.py",), ("src/util/b.py",), ("test/util/b.py",)], "path string")
+    texts = df([("k", "See a.py, src/util/b.py and util/b.py."), ("l", "nothing")], "key string, text string")
+    assert rows(textrank.written_paths(texts, known)) == [("k", "src/a.py"), ("k", "src/util/b.py")]
+    decisions = df([("d", "a", "1"), ("e", "b", "1"), ("f", "z", "1")], "decision string, id string, hash string")
+    assert rows(review.code_unchanged(decisions, df([("a", "1"), ("b", "2")], "id string, hash string"))) == [("d", "unchanged"), ("e", "changed"), ("f", "gone")]
+    files = df([("a.py", "1\n2\n3\n4\n5")], "path string, text string")
+    nodes = df([("n", "a.py", 2, 4)], "id string, path string, first int, last int")
+    assert rows(lookup.source_lines(files, nodes, 2)) == [("n", 2, "2\n3", True)]
+
+
+def test_compiler_links(spark, tmp_path):
+    from weftgraph.sources import compiler
+
+    (tmp_path / "l.json").write_text('{"caller": "a", "line": 1, "name": "f", "target": "x"}\n{"caller": "a", "line": 2, "name": "g", "target": "z"}\nnot json\n{"line": 3}\n')
+    found = compiler.read_links(spark, tmp_path.as_uri())
+    assert found.count() == 2
+    own = spark.createDataFrame([("a", 1, "f", "x", "heuristic"), ("a", 2, "g", "y", "guess"), ("a", 9, "h", "w", "guess")], "src string, line int, name string, dst string, precision string")
+    assert rows(compiler.apply_links(own, found), "line", "dst", "precision", "state") == [(1, "x", "exact", "confirmed"), (2, "z", "exact", "added"), (9, "w", "guess", "kept")]

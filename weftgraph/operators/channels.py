@@ -149,3 +149,16 @@ def match_keys(writers: DataFrame, readers: DataFrame) -> DataFrame:
             )
 
     return pairs.mapInArrow(align, f"src {kinds['src']}, dst {kinds['dst']}, hits long, precision string")
+
+
+def match_spawns(spawns: DataFrame, programs: DataFrame) -> DataFrame:
+    """(src, dst): launched commands (src, command) to the program (dst, path) whose file a
+    word of the command ends in; the longest path that fits, none where two fit alike."""
+    words = F.filter(F.split("command", r"[\s\"']+"), lambda x: x != "")
+    asked = spawns.select("src", F.explode(F.transform(words, lambda x: F.regexp_replace(x, r"^\.?/+", ""))).alias("word"))
+    parts = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "/"))
+    hit = asked.join(programs.select("dst", F.explode(ends).alias("word")), "word")
+    w = Window.partitionBy("src")
+    best = hit.withColumn("most", F.max(F.length("word")).over(w)).filter(F.length("word") == F.col("most")).select("src", "dst").distinct()
+    return best.withColumn("n", F.count(F.lit(1)).over(w)).filter("n = 1").select("src", "dst")

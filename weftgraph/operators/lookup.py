@@ -184,3 +184,12 @@ def purposes(nodes: DataFrame, notes: DataFrame, docs: DataFrame) -> DataFrame:
         .join(docs.groupBy("id").agg(F.min("doc").alias("doc")), "id", "left")
         .select("id", first_sentence(F.coalesce("note", "doc")).alias("purpose"))
     )
+
+
+def source_lines(files: DataFrame, nodes: DataFrame, most: int = 200) -> DataFrame:
+    """(id, first, text, cut): the source of each node (id, path, first, last), at most so
+    many lines of it; files has path and text."""
+    lines = F.slice(F.split("text", "\n"), F.col("first"), F.least(F.col("last") - F.col("first") + 1, F.lit(most)))
+    return nodes.join(files, "path").select(
+        "id", "first", F.array_join(lines, "\n").alias("text"), (F.col("last") - F.col("first") + 1 > most).alias("cut")
+    )

@@ -164,3 +164,82 @@ def finished(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     inside = nodes.filter("parent_id is not null").select(F.lit("contains").alias("kind"), F.col("parent_id").alias("src"), F.col("id").alias("dst"))
     return kept.select("kind", "src", "dst").unionByName(inside)
+
+
+def script_entries(files: DataFrame, imported: DataFrame) -> DataFrame:
+    """(path): files with top-level code (has_body) that no import names: programs."""
+    named = imported.filter("dst is not null").select(F.col("dst").alias("path")).distinct()
+    return files.filter("has_body").select("path").join(named, "path", "left_anti")
+
+
+def attached_methods(methods: DataFrame, types: DataFrame) -> DataFrame:
+    """(id, owner): methods written outside their type (id, folder, receiver) to the type of
+    that name in the same folder (id, folder, name), where there is one."""
+    one = types.groupBy("folder", F.col("name").alias("receiver")).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("owner"))
+    return methods.join(one.filter("_n = 1"), ["folder", "receiver"]).select("id", "owner")
+
+
+def aliased(imports: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(path, target, real): import targets under an alias prefix (prefix, put), the longest
+    prefix first. Prefixes of a target are made from it, so the join is on equal keys."""
+    parts = F.split("target", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    hit = imports.select("path", "target", F.explode(prefixes).alias("prefix")).join(aliases, "prefix")
+    best = hit.groupBy("path", "target").agg(F.max_by(F.struct("prefix", "put"), F.length("prefix")).alias("b"))
+    return best.select("path", "target", F.concat(F.col("b.put"), F.expr("substring(target, length(b.prefix) + 1)")).alias("real"))
+
+
+def by_path_suffix(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, target, dst): import targets that are the end of exactly one file's path without
+    its ending; whole path parts only."""
+    stem = F.regexp_replace("path", r"\.[^./]*$", "")
+    parts = F.split(stem, "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "/"))
+    wanted = imports.select("target").distinct()
+    found = (
+        files.select(F.col("path").alias("dst"), F.explode(ends).alias("target"))
+        .join(wanted, "target", "left_semi")
+        .groupBy("target")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("dst").alias("dst"))
+        .filter("_n = 1")
+        .drop("_n")
+    )
+    return imports.select("path", "target").join(found, "target").filter("path <> dst").select("path", "target", "dst")
+
+
+def argument_types(passed: DataFrame, forwarded: DataFrame, most: int = 32) -> DataFrame:
+    """(fn, param, type_id): the types that callers pass to a parameter. passed has those
+    known at a call; forwarded (fn, param, to_fn, to_param) are parameters handed on, and
+    types follow them until nothing is new."""
+    out = front = staged(passed.select("fn", "param", "type_id").distinct(), "argument-types")
+    for _ in range(most):
+        nxt = (
+            front.join(forwarded, ["fn", "param"])
+            .select(F.col("to_fn").alias("fn"), F.col("to_param").alias("param"), "type_id")
+            .distinct()
+            .join(out, ["fn", "param", "type_id"], "left_anti")
+        )
+        front = staged(nxt, "argument-types")
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
+    return out
+
+
+def overload(calls: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(call, dst): of several candidates (name, dst, argc_min, argc_max) the one whose
+    argument count fits most narrowly; none where two fit alike."""
+    hit = calls.join(candidates, "name").filter("argc between argc_min and argc_max").withColumn("room", F.col("argc_max") - F.col("argc_min"))
+    w = Window.partitionBy("call")
+    best = hit.withColumn("least", F.min("room").over(w)).filter("room = least")
+    return best.withColumn("n", F.count(F.lit(1)).over(w)).filter("n = 1").select("call", "dst")
+
+
+def moved_members(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(repo, was, now): repositories known by first commit and origin at another root."""
+    return (
+        before.select("repo", F.col("root").alias("was"), "first_commit", "origin")
+        .join(now.select(F.col("root").alias("now"), "first_commit", "origin"), ["first_commit", "origin"])
+        .filter("was <> now")
+        .select("repo", "was", "now")
+    )

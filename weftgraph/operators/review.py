@@ -125,3 +125,13 @@ def edge_changes(before: DataFrame, after: DataFrame, changed: DataFrame) -> Dat
 def unbacked(arrows: DataFrame, links: DataFrame) -> DataFrame:
     """Drawn arrows (src, dst) without a link behind them."""
     return arrows.select("src", "dst").distinct().join(links.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+
+
+def code_unchanged(decisions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(decision, state): is the code behind a decision (decision, id, hash) as it was?"""
+    now = nodes.select("id", F.col("hash").alias("_now")).distinct()
+    own = decisions.join(now, "id", "left")
+    state = F.when(F.count_if(F.col("_now").isNull()) > 0, "gone").when(
+        F.count_if(F.col("_now") != F.col("hash")) > 0, "changed"
+    ).otherwise("unchanged")
+    return own.groupBy("decision").agg(state.alias("state"))

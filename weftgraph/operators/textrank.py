@@ -117,3 +117,14 @@ def budget_pack(items: DataFrame, group: str, order: list, size, budget: int) ->
     """Items of each group in order while their running size keeps to the budget."""
     run = F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return items.withColumn("run", run.cast("long")).filter(F.col("run") <= budget)
+
+
+def written_paths(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, path): known paths that a text (key, text) names in full or by an end of whole
+    parts that only one known path has."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\w.-]+(?:/[\w.-]+)*)"), F.lit(1)))
+    parts = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "/"))
+    asked = texts.select("key", F.explode(words).alias("word")).withColumn("word", F.regexp_replace("word", r"\.+$", ""))
+    found = known.select("path", F.explode(ends).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path"))
+    return asked.join(found.filter("n = 1"), "word").select("key", "path").distinct()

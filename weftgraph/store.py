@@ -96,6 +96,12 @@ class GraphStore:
         self.write("edges", edges.filter(~F.coalesce(own & (F.col("layer") == "fact"), F.lit(False))))
         self.write("calls", self.read("calls").filter(~own))
 
+    def forget(self, repos: list[str]) -> None:
+        """Drop all that belongs to some repositories, whatever its layer."""
+        own = lambda c: F.coalesce(F.substring_index(c, ":", 1).isin(*repos), F.lit(False))
+        for relation, column in (("nodes", "id"), ("edges", "src_id"), ("calls", "src_id"), ("annotations", "node_id")):
+            self.write(relation, self.read(relation).filter(~own(F.col(column))))
+
     def snapshot(self, name: str) -> None:
         """Keep the present version under a name; folders are shared, nothing is copied."""
         if not name.replace("-", "").replace("_", "").isalnum():
