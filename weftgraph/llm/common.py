@@ -96,6 +96,20 @@ def lean(f):
     return run
 
 
+def slices(batch, column: int, rows: int = 500, size: int = 4_000_000):
+    """A batch in parts of so many rows and bytes of a text column; a longer text is alone."""
+    import pyarrow.compute as pc
+
+    at, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if i > at and (i - at == rows or held + n > size):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if len(batch) > at:
+        yield batch.slice(at)
+
+
 class ByteBpe:
     """Ids of the byte-level BPE file, as the tokenizers library gives them with
     ``add_special_tokens=False``.

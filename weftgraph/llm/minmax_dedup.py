@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import lean, staged, table
+from weftgraph.llm.common import lean, slices, staged, table
 from weftgraph.llm.components import connected_components
 
 WORDS = 4
@@ -37,8 +37,9 @@ PERCENT = 80
 PERMUTATIONS, ROWS = 64, 4
 #: Rounds of one class against its bucket, before the rest is compared in blocks.
 STAR_ROUNDS = 2
-#: Classes of a bucket that one block holds; the rest of the bucket streams past it.
-BLOCK = 512
+#: Classes of a bucket that one block holds, of some thousand shingles each at most on
+#: average; the rest of the bucket streams past it.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 
 
 class WordHashes(dict):
@@ -113,8 +114,7 @@ def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
         hashes = WordHashes()
         for whole in batches:
-            for at in range(0, len(whole), 500):
-                batch = whole.slice(at, 500)
+            for batch in slices(whole, 1):
                 sets = [shingle_set(v.as_py(), hashes, words) for v in batch.column(1)]
                 some = [i for i, s in enumerate(sets) if len(s)]
                 bands: list = [None] * len(sets)
@@ -145,8 +145,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFra
 
         hashes = WordHashes()
         for whole in batches:
-            for at in range(0, len(whole), 500):
-                batch = whole.slice(at, 500)
+            for batch in slices(whole, 1):
                 sets = [shingle_set(v.as_py(), hashes, words) for v in batch.column(1)]
                 both = np.array([[x >> 64, x & (2**64 - 1)] for x in (xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets)], np.uint64)
                 yield pa.RecordBatch.from_arrays(
@@ -184,10 +183,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
 def block_links(open_: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(a, b): links between classes of different components in one bucket, of
-    (key, cls, component, members): each pair is compared, a spanning forest returned."""
+    (key, cls, component, members, shingles): each pair is compared, a spanning forest returned."""
     import numpy as np
 
-    own = F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / block)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     dealt = (
         open_.withColumn("block", own)
         .select("key", "cls", "component", "block", F.explode(F.sequence(F.lit(0), own)).alias("part"))
@@ -220,8 +220,12 @@ def block_links(open_: DataFrame, sets: DataFrame, percent: int = PERCENT, block
             if not len(pos):
                 return
             n = starts[pos + 1] - starts[pos]
-            picks = np.repeat(starts[pos] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            both = np.bincount(at[picks], minlength=len(core))
+            both = np.zeros(len(core), np.int64)
+            ends = np.cumsum(n)
+            for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(ends // 1_000_000)) + 1):
+                m = n[part]
+                picks = np.repeat(starts[pos[part]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                both += np.bincount(at[picks], minlength=len(core))
             for k in np.flatnonzero(100 * both >= percent * (sizes + len(shingles) - both)):
                 if k < below:
                     x, y = root(cls), root(core[k][0])
@@ -327,6 +331,7 @@ def near_duplicates(
                 F.min("component").alias("low"),
                 F.max("component").alias("high"),
                 F.count(F.lit(1)).alias("members"),
+                F.sum("n").alias("shingles"),
                 F.min_by("cls", drawn).alias("centre"),
                 F.min_by("component", drawn).alias("group"),
             )
