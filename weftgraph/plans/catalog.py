@@ -1077,3 +1077,139 @@ def key_formats(v: Views) -> DataFrame:
     w = p.select(F.col("p_partkey").alias("src"), F.array(first, F.lit(""), second).alias("parts"))
     r = p.filter("p_size < 5").select(F.concat(first, F.lit(":"), (F.col("p_size") % 5).cast("string")).alias("dst"), F.array(first, F.lit("x"), second).alias("parts"))
     return channels.match_keys(w, r).withColumnRenamed("precision", "precision_")
+
+
+# Sources and further operators, on text made from the tables
+
+
+@query(
+    "SELECT CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS run, concat('t/u', user_id, '.py::test_', event_type) AS name, CASE WHEN last_value = 'error' THEN 'fail' WHEN last_value = 'signup' THEN 'skip' ELSE 'pass' END AS status FROM (SELECT event_id, user_id, event_type, event_type AS last_value, row_number() OVER (PARTITION BY event_id % 2, user_id, event_type ORDER BY event_id DESC) AS k FROM events) WHERE k = 1"
+)
+def test_output_lines(v: Views) -> DataFrame:
+    """One runner line an event, parsed back; the last mention of a name counts."""
+    from weftgraph.sources.test_output import parse_output
+
+    word = F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "signup", "SKIPPED").otherwise("PASSED")
+    text = F.concat(word, F.lit(" t/u"), F.col("user_id").cast("string"), F.lit(".py::test_"), F.col("event_type"))
+    run = F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd")
+    return parse_output(v.table("events").select(run.alias("run"), F.col("event_id").alias("line_no"), text.alias("text")))
+
+
+@query(
+    "SELECT lpad(lower(hex(o_orderkey)), 40, '0') AS sha, CASE WHEN o_orderstatus = 'P' THEN 'R' ELSE 'M' END AS status, CASE WHEN o_orderstatus = 'P' THEN concat('old/', o_custkey) END AS old_path, concat('src/', o_custkey) AS path FROM orders"
+)
+def git_log_lines(v: Views) -> DataFrame:
+    """A log with one commit an order, parsed back."""
+    from weftgraph.sources.gitlog import parse_log
+
+    o = v.table("orders")
+    log = F.concat(F.lit("log"), (F.col("o_orderkey") % 16).cast("string")).alias("log")
+    n = F.col("o_orderkey") * 2
+    head = F.concat(F.lit("commit "), F.lpad(F.lower(F.hex("o_orderkey")), 40, "0"), F.lit(" "), F.unix_timestamp("o_orderdate").cast("string"))
+    path = F.col("o_custkey").cast("string")
+    body = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("R090\told/"), path, F.lit("\tsrc/"), path)).otherwise(F.concat(F.lit("M\tsrc/"), path))
+    lines = o.select(log, n.alias("line_no"), head.alias("text")).unionByName(o.select(log, (n + 1).alias("line_no"), body.alias("text")))
+    return parse_log(lines).select("sha", "status", "old_path", "path")
+
+
+@query(
+    "SELECT concat('r', event_id % 8) AS run, concat('t', user_id) AS test, concat('f', event_id % 50) AS path, CAST(event_id % 1000 AS INTEGER) AS line, CAST(floor(value) AS BIGINT) AS hits FROM events"
+)
+def lcov_lines(v: Views) -> DataFrame:
+    """Three lines of coverage an event, read back."""
+    from weftgraph.sources.coverage_files import read_lcov
+
+    text = lambda *x: F.concat(*(y if not isinstance(y, str) else F.lit(y) for y in x))
+    s = lambda c: c.cast("string")
+    e, i = v.table("events"), F.col("event_id")
+    three = F.array(
+        text("TN:t", s(F.col("user_id"))),
+        text("SF:f", s(i % 50)),
+        text("DA:", s(i % 1000), ",", s(F.floor("value"))),
+    )
+    run = text("r", s(i % 8)).alias("run")
+    return read_lcov(e.select(run, i, F.posexplode(three).alias("k", "text")).select("run", (i * 3 + F.col("k")).alias("line_no"), "text"))
+
+
+@query(
+    "SELECT concat('s', s_suppkey) AS sub, concat('n', s_nationkey) AS super, CAST(1 AS BIGINT) AS dist FROM supplier UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), 1 FROM nation UNION ALL SELECT concat('s', s_suppkey), concat('r', n_regionkey), 2 FROM supplier JOIN nation ON n_nationkey = s_nationkey"
+)
+def base_closure(v: Views) -> DataFrame:
+    from weftgraph.operators.resolution import base_closure as closure
+
+    return closure(_tree(v).filter("kind in ('module', 'field')").select(F.col("id").alias("sub"), F.col("parent_id").alias("super")))
+
+
+@query(
+    "SELECT concat('s', s_suppkey) AS src, CASE WHEN s_suppkey % 2 = n_nationkey % 2 THEN concat('n', n_nationkey) ELSE concat('r', n_regionkey) END AS dst FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 2 = n_nationkey % 2 OR s_suppkey % 2 = n_regionkey % 2 UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation WHERE n_nationkey % 2 = n_regionkey % 2"
+)
+def overrides(v: Views) -> DataFrame:
+    """Each method to the one of its name in the nearest base; names are parities."""
+    from weftgraph.operators.resolution import base_closure as closure
+    from weftgraph.operators.resolution import overrides as resolve
+
+    tree = _tree(v).filter("kind <> 'callable'")
+    bases = tree.filter("parent_id is not null").select(F.col("id").alias("sub"), F.col("parent_id").alias("super"))
+    methods = tree.select("id", F.col("id").alias("owner"), (F.expr("cast(substring(id, 2) as int)") % 2).cast("string").alias("name"))
+    return resolve(methods, closure(bases))
+
+
+@query(
+    "SELECT commit_id, fn FROM (SELECT DISTINCT l_orderkey AS commit_id, p_size AS fn FROM lineitem JOIN part ON p_partkey = l_partkey)"
+)
+def changed_functions(v: Views) -> DataFrame:
+    """Changed lines to functions: sizes are spans of ten lines."""
+    size = v.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    hunks = v.table("lineitem").join(size, "l_partkey").select(
+        F.col("l_orderkey").alias("commit_id"), (F.col("p_size") % 5).alias("path"), (F.col("p_size") * 10 + F.col("l_linenumber")).alias("line")
+    )
+    spans = size.select((F.col("p_size") % 5).alias("path"), (F.col("p_size") * 10).alias("first"), (F.col("p_size") * 10 + 9).alias("last"), F.col("p_size").alias("fn"))
+    return history.changed_functions(hunks, spans.distinct())
+
+
+@query(
+    f"WITH b AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_shipdate < {CUTTIME}), a AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_shipdate >= {CUTTIME} AND l_quantity < 20), c AS (SELECT l_partkey AS d, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY 1) SELECT b.id, CASE WHEN a.id IS NOT NULL THEN 'contradicted' WHEN coalesce(c.n, 0) > 0 THEN 'partial' ELSE 'proven' END AS verdict FROM b LEFT JOIN a ON a.id = b.id LEFT JOIN c ON c.d = b.id"
+)
+def removal_verdict(v: Views) -> DataFrame:
+    b, a = _halves(v, F.col("l_partkey").alias("id"), "l_quantity")
+    tasks = b.select("id", F.lit(None).cast("long").alias("renamed_to")).distinct()
+    callers = v.table("lineitem").filter("l_quantity > 45").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return change.removal_verdicts(tasks, a.filter("l_quantity < 20"), callers)
+
+
+@query(
+    "SELECT user_id AS node_id, event_type AS key, max_by(concat(event_type, event_id), event_id) AS value FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2"
+)
+def notes_shown(v: Views) -> DataFrame:
+    """Of the notes of a node the one of most confidence; inferred stale ones are left out."""
+    e = v.table("events").select(
+        F.col("user_id").alias("node_id"),
+        F.col("event_type").alias("key"),
+        F.concat("event_type", F.col("event_id").cast("string")).alias("value"),
+        F.when(F.col("event_id") % 3 == 0, "intent").otherwise("inferred").alias("layer"),
+        F.col("event_id").cast("double").alias("confidence"),
+        F.lit(True).alias("stale"),
+    )
+    return notes.notes(e)
+
+
+@query(
+    "WITH e AS (SELECT least(s.type_id, d.type_id) AS a, greatest(s.type_id, d.type_id) AS b, count(*) AS w FROM g_calls c JOIN g_fn s ON s.id = c.src JOIN g_fn d ON d.id = c.dst WHERE s.type_id <> d.type_id GROUP BY 1, 2), k AS (SELECT split_part(a, '/', 1) AS la, split_part(b, '/', 1) AS lb, w FROM e), r AS (SELECT la AS l, w, la = lb AS i FROM k UNION ALL SELECT lb, w, false FROM k WHERE la <> lb) SELECT l AS label, round_even(CAST(sum(CASE WHEN i THEN w ELSE 0 END) AS DOUBLE) / sum(w), 3) AS cohesion FROM r GROUP BY 1",
+    "g_calls", "g_fn",
+)
+def cohesion(v: Views) -> DataFrame:
+    labels = v.functions().select(F.col("type_id").alias("id"), F.col("module_id").alias("label")).distinct()
+    return communities.cohesion(communities.unit_graph(v.calls(), v.functions()), labels)
+
+
+@query(
+    "SELECT part, member FROM (SELECT DISTINCT p_brand AS part, p_type AS member FROM part)"
+)
+def written_paths(v: Views) -> DataFrame:
+    """Paths that texts name: each brand's text lists its types among other words."""
+    p = v.table("part")
+    known = p.select(F.concat(F.lit("src/"), "p_type").alias("path")).distinct()
+    said = p.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_type")), ", see ").alias("t"))
+    texts = said.select(F.col("p_brand").alias("key"), F.concat(F.lit("Read "), "t", F.lit(". Then stop.")).alias("text"))
+    found = textrank.written_paths(texts, known)
+    return found.select(F.col("key").alias("part"), F.substring_index("path", "/", -1).alias("member"))
