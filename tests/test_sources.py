@@ -285,3 +285,54 @@ def test_incremental(spark):
     assert rows(incremental.to_resolve(changed, names, m, imports)) == [("a",), ("b",), ("c",), ("d",)]
     old = spark.createDataFrame([("p", 1), ("q", 2)], "k string, v int")
     assert rows(incremental.replaced(old, spark.createDataFrame([("q", 3)], "k string, v int"), "k")) == [("p", 1), ("q", 3)]
+
+
+@pytest.fixture(scope="module")
+def indexed(spark, tmp_path_factory):
+    from weftgraph.indexing import index_tree
+
+    root = tmp_path_factory.mktemp("tree")
+    for path, text in SOURCES.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+    (root / "pkg/pyproject.toml").write_text("")
+    (root / "tests/setup.cfg").write_text("")
+    store = GraphStore(spark, tmp_path_factory.mktemp("store").as_uri())
+    index_tree(spark, store, str(root), "r")
+    return root, store
+
+
+def test_index_tree_answers_questions(spark, indexed):
+    _, store = indexed
+    e = GraphEngine(spark, store)
+    reached = dict(rows(e.impact("r:python:pkg.base.Base.helper"), "id", "dist"))
+    assert reached["r:python:pkg.main.show"] == 2 and reached["r:python:tests.test_main.test_show"] == 3
+    assert [short(x) for _, x in rows(e.trace("r:python:tests.test_main.test_show", "r:python:pkg.base.Base.run"))] == ["tests.test_main.test_show", "pkg.main.show", "pkg.base.Base.run"]
+    assert ("r:module:tests", "r:module:pkg", 1) in rows(e.module_edges(), "from_module", "to_module", "n")
+    flow = e.flow("flow:r:python:tests.test_main.test_show").collect()
+    assert [short(r.fn) for r in flow][:2] == ["tests.test_main.test_show", "pkg.main.show"]
+    assert {r.id for r in e.search("helper").collect()} == {"r:python:pkg.base.Base.helper", "r:python:pkg.base.Child.helper"}
+    assert {short(r.id) for r in e.context(["r:python:pkg.main.show"], 60).collect()} >= {"pkg.main.show"}
+    assert {r.kind for r in e.flows().collect()} == {"test", "entry"}
+    assert e.coverage().count() == 2 and e.overview().count() == 2 and e.outline().count() > 0
+    assert rows(e.shared_state(), "field") == [("r:python:pkg.base.Base.limit",)]
+    assert e.neighbors(1).count() > 0 and e.notes().count() == 0 and e.check_rules() == {}
+    assert {short(r.id): r.role for r in e.assess([("r:python:pkg.util.tool", "remove")]).collect()}["pkg.main.show"] == "must_edit"
+    assert e.find_flows("show items").first().id == "r:python:pkg.main.show"
+
+
+def test_index_again_equals_once(spark, indexed):
+    from weftgraph.indexing import index_tree
+    from weftgraph.operators.change import differences
+
+    root, store = indexed
+    store.snapshot("first")
+    index_tree(spark, store, str(root), "r")
+    for relation in ("nodes", "edges", "calls", "flows", "flow_steps"):
+        assert differences(store.read(relation), store.read(relation, "first")).count() == 0, relation
+    (root / "pkg/util.py").write_text("def tool(x):\n    return x\n\ndef extra():\n    return tool(1)\n")
+    index_tree(spark, store, str(root), "r")
+    changed = {short(i): s for i, s in rows(GraphEngine(spark, store).compare("first"))}
+    assert changed == {"pkg.util.tool": "edited", "pkg.util.tool.inner": "removed", "pkg.util.extra": "added"}
+    store.forget(["r"])
+    assert store.read("nodes").count() == 0

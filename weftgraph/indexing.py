@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import resolution
+from weftgraph.operators import resolution, traverse
 from weftgraph.runtime import staged
+from weftgraph.sources import files as trees
 from weftgraph.sources import python_ast
+from weftgraph.store import GraphStore
 
 
 def python_graph(files: DataFrame, repo: str = "repo") -> dict[str, DataFrame]:
@@ -57,3 +59,71 @@ def python_graph(files: DataFrame, repo: str = "repo") -> dict[str, DataFrame]:
         "endpoints": part("endpoint").select(F.col("kind").alias("channel"), "role", F.col("id").alias("src"), F.col("target").alias("address"), F.col("name").alias("method"), "line"),
         "errors": part("error").select("path", "name", "attrs"),
     }
+
+
+def flow_tables(graph: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """flows and flow_steps: walks from each test and from each file's entry point."""
+    nodes = graph["nodes"]
+    tests = nodes.filter("kind = 'test'").select("id", "name", F.col("id").alias("entry_id"), F.lit("test").alias("kind"))
+    module = F.regexp_replace("id", r"<main>$", "<module>")
+    mains = nodes.filter("kind = 'entry_point'").select("id", "name", module.alias("entry_id"), F.lit("entry").alias("kind"))
+    entries = tests.unionByName(mains).withColumn("id", F.concat(F.lit("flow:"), "id"))
+    calls = graph["calls"].filter("dst is not null").select("src", "dst", F.col("line").alias("site_start"))
+    steps = staged(traverse.walks(entries.select("id", F.col("entry_id").alias("entry")), calls), "steps")
+    size = steps.groupBy(F.col("flow_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("steps"), F.max("truncated").alias("truncated"))
+    flows = entries.join(size, "id").select("id", "name", "entry_id", "kind", "steps", "truncated")
+    rows = steps.select(
+        "flow_id",
+        F.col("seq").cast("int").alias("seq"),
+        F.col("depth").cast("int").alias("depth"),
+        F.col("fn").alias("callable_id"),
+        F.lit("call").alias("via"),
+        F.lit(None).cast("int").alias("site_line"),
+        F.col("parent_seq").cast("int").alias("parent_seq"),
+    )
+    return flows, rows
+
+
+def index_tree(spark: SparkSession, store: GraphStore, root: str, repo: str, rules: list[str] | None = None) -> None:
+    """Index a source tree: the facts of one repository are made anew, those of others, and
+    what people and reviewers said, stay."""
+    tree = staged(trees.read_tree(spark, root, rules), "tree")
+    texts = tree.filter("text is not null")
+    graph = python_graph(texts.select("path", "text"), repo)
+    flows, steps = flow_tables(graph)
+    hashes = texts.select("path", F.sha1(F.col("text").cast("binary")).alias("content_hash"))
+    none = lambda t: F.lit(None).cast(t)
+    module = trees.modules(tree.select("path"))
+    module_id = lambda m: F.concat(F.lit(f"{repo}:module:"), F.when(m == "", ".").otherwise(m))
+    raw = graph["nodes"].join(module, "path", "left")
+    parent = F.when((F.col("kind") == "file") & F.col("module").isNotNull(), module_id(F.col("module"))).otherwise(F.col("parent_id"))
+    nodes = (
+        raw.withColumn("parent", parent)
+        .join(hashes, "path", "left")
+        .select(
+            "id", "kind", "name", F.col("parent").alias("parent_id"), F.lit(repo).alias("repo_id"), F.lit("python").alias("language"), "path",
+            F.col("first").alias("span_start"), F.col("last").alias("span_end"), "content_hash", F.lit("fact").alias("layer"),
+            F.lit("ast").alias("source"), none("string").alias("commit_sha"), "attrs",
+        )
+    )
+    own = module.select("module").distinct().filter("module is not null")
+    modules = own.select(
+        module_id(F.col("module")).alias("id"), F.lit("module").alias("kind"), F.col("module").alias("name"), none("string").alias("parent_id"),
+        F.lit(repo).alias("repo_id"), none("string").alias("language"), F.col("module").alias("path"), none("int").alias("span_start"),
+        none("int").alias("span_end"), none("string").alias("content_hash"), F.lit("fact").alias("layer"), F.lit("tree").alias("source"),
+        none("string").alias("commit_sha"), none("string").alias("attrs"),
+    )
+    edges = graph["edges"].select(
+        "kind", F.col("src").alias("src_id"), F.col("dst").alias("dst_id"), F.lit("heuristic").alias("precision"), F.lit("fact").alias("layer"), none("string").alias("attrs")
+    )
+    calls = graph["calls"].filter("dst is not null").select(
+        F.col("src").alias("src_id"), F.col("dst").alias("dst_id"), F.lit("static").alias("dispatch"), "precision", F.col("line").alias("site_start"), F.col("line").alias("site_end")
+    )
+    store.clear_facts(repo)
+    store.insert_nodes(nodes.unionByName(modules))
+    store.append("edges", edges)
+    store.append("calls", calls)
+    mine = F.coalesce(F.col("entry_id").startswith(f"{repo}:"), F.lit(False))
+    store.write("flows", store.read("flows").filter(~mine).unionByName(flows))
+    ours = F.coalesce(F.col("flow_id").startswith(f"flow:{repo}:"), F.lit(False))
+    store.write("flow_steps", store.read("flow_steps").filter(~ours).unionByName(steps))

@@ -71,26 +71,28 @@ def flows_crossing(steps: DataFrame, functions: DataFrame) -> DataFrame:
     flow = Window.partitionBy("flow_id")
     home = F.max(F.when(F.col("seq") == 0, F.col("module_id"))).over(flow)
     parent = F.max("module_id").over(flow.orderBy("seq").rangeBetween(-1, -1))
+    away = F.col("module_id") != F.col("home")
+    back = ~away & (F.col("parent") != F.col("home"))
     return (
         own.withColumn("home", home)
         .withColumn("parent", parent)
         .filter(F.col("home").isNotNull())
-        .agg(
-            F.countDistinct(F.when(F.col("module_id") != F.col("home"), F.col("flow_id"))).alias("crossing"),
-            F.countDistinct(
-                F.when((F.col("module_id") == F.col("home")) & (F.col("parent") != F.col("home")), F.col("flow_id"))
-            ).alias("returning_"),
-        )
+        .groupBy("flow_id")  # dealt by flow already
+        .agg(F.bool_or(away).alias("away"), F.bool_or(back).alias("back"))
+        .agg(F.count_if("away").alias("crossing"), F.count_if("back").alias("returning_"))
     )
 
 
 def shared_state(access: DataFrame, functions: DataFrame, outside: Column | None = None) -> DataFrame:
-    """Per field: writers, the types they belong to, and their modules."""
+    """Per field: writers, the types they belong to, and their modules. access has one row
+    per kind, src and field."""
     own = access.filter("kind = 'writes'").join(functions.select(F.col("id").alias("src"), "type_id", "module_id"), "src")
     if outside is not None:
         own = own.filter(outside)
-    return own.groupBy("field").agg(
-        F.countDistinct("src").alias("writers"),
+    # Writers are distinct per field already; what is counted distinct has one row per type.
+    by_type = own.groupBy("field", "type_id", "module_id").agg(F.count(F.lit(1)).alias("n"))
+    return by_type.groupBy("field").agg(
+        F.sum("n").cast("long").alias("writers"),
         F.countDistinct("type_id").alias("written_from"),
         F.countDistinct("module_id").alias("writer_modules"),
     )

@@ -41,16 +41,15 @@ def rarest_words(texts: DataFrame, key: str, text: str, most: int = 3, at_least:
 def shared_words(a: DataFrame, b: DataFrame, least: int) -> DataFrame:
     """(i, j, inter, uni) of texts (i, text) and (j, text) that share at least ``least``
     distinct words: an inverted-index join on words, no cross join."""
-    wa, wb = a.select("i", keyword_words(F.col("text")).alias("w")), b.select("j", keyword_words(F.col("text")).alias("w"))
-    na, nb = wa.select("i", F.size("w").alias("na")), wb.select("j", F.size("w").alias("nb"))
-    hits = (
-        wa.select("i", F.explode("w").alias("w"))
-        .join(wb.select("j", F.explode("w").alias("w")), "w")
-        .groupBy("i", "j")
+    words = lambda df, key, n: df.select(key, keyword_words(F.col("text")).alias("w")).select(key, F.size("w").alias(n), F.explode("w").alias("w"))
+    return (
+        words(a, "i", "na")
+        .join(words(b, "j", "nb"), "w")
+        .groupBy("i", "j", "na", "nb")
         .agg(F.count(F.lit(1)).alias("inter"))
         .filter(F.col("inter") >= least)
+        .select("i", "j", "inter", (F.col("na") + F.col("nb") - F.col("inter")).alias("uni"))
     )
-    return hits.join(na, "i").join(nb, "j").select("i", "j", "inter", (F.col("na") + F.col("nb") - F.col("inter")).alias("uni"))
 
 
 def weighted_jaccard(a, b, light: list[str], weight: float = 0.5):

@@ -248,10 +248,17 @@ def walks(starts: DataFrame, calls: DataFrame, depth: int = FLOW_DEPTH, most: in
         if level.isEmpty():
             break
         near = near.unionByName(level)
-    own = starts.select(F.col("id").alias("flow_id"), F.col("entry").cast("long").alias("node"), F.lit(None).cast("long").alias("dst"), F.lit(-1).cast("long").alias("line")).unionByName(
-        near.join(edges, F.col("node") == F.col("src")).select("flow_id", F.col("node").cast("long"), F.col("dst").cast("long"), F.col("line").cast("long"))
+    node_type = calls.schema["src"].dataType.simpleString()
+    own = starts.select(
+        F.col("id").alias("flow_id"), F.col("entry").cast(node_type).alias("node"), F.lit(None).cast(node_type).alias("dst"), F.lit(-1).cast("long").alias("line")
+    ).unionByName(
+        near.join(edges, F.col("node") == F.col("src")).select(
+            "flow_id", F.col("node").cast(node_type), F.col("dst").cast(node_type), F.col("line").cast("long")
+        )
     )
     kind = starts.schema["id"].dataType.simpleString()
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    flow_arrow, node_arrow = arrow[kind], arrow[node_type]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flow, entry, following = None, None, {}
@@ -275,7 +282,7 @@ def walks(starts: DataFrame, calls: DataFrame, depth: int = FLOW_DEPTH, most: in
                     continue
                 stack += [(n, d + 1, seq) for n in reversed(after) if n not in seen]
             columns = [*zip(*out, strict=True), [truncated] * len(out)]
-            types = (None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            types = (flow_arrow, pa.int64(), pa.int64(), node_arrow, pa.int64(), pa.bool_())
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
                 ["flow_id", "seq", "depth", "fn", "parent_seq", "truncated"],
@@ -297,7 +304,7 @@ def walks(starts: DataFrame, calls: DataFrame, depth: int = FLOW_DEPTH, most: in
     return (
         own.repartition("flow_id")
         .sortWithinPartitions("flow_id")
-        .mapInArrow(walk, f"flow_id {kind}, seq long, depth long, fn long, parent_seq long, truncated boolean")
+        .mapInArrow(walk, f"flow_id {kind}, seq long, depth long, fn {node_type}, parent_seq long, truncated boolean")
     )
 
 
