@@ -1,30 +1,4 @@
 """Operators for preparing language-model training data.
 
-Nothing else in the library imports this subpackage.  Functions that run on
-executors are pickled by value, so that executors need not have the package
-installed.
+Nothing else in the library imports this subpackage.
 """
-
-from __future__ import annotations
-
-import importlib
-
-from pyspark import cloudpickle
-
-_MODULES = (
-    "common",
-    "components",
-    "token_counts",
-    "embedding_dedup",
-    "quality",
-    "exact_dedup",
-    "token_files",
-    "toxicity",
-    "bpe_words",
-    "sharding",
-    "packing",
-    "minmax_dedup",
-)
-
-for _name in _MODULES:
-    cloudpickle.register_pickle_by_value(importlib.import_module(f"{__name__}.{_name}"))
