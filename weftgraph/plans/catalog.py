@@ -688,11 +688,17 @@ def plural_stem_join(v: Views) -> DataFrame:
     return v.table("part").groupBy(plural_stem(F.col("p_name")).alias("st")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    """WITH s AS (SELECT id, type_id AS g, list_max(list_transform(string_split(lower(name), ' '), lambda w: CASE WHEN w IN ('blue', 'blues', 'bluees', 'blueed', 'blueing') THEN 1.0::DOUBLE WHEN starts_with(w, 'blue') AND length(w) <= 8 THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END)) AS a, list_max(list_transform(string_split(lower(name), ' '), lambda w: CASE WHEN w IN ('gear', 'gears', 'geares', 'geared', 'gearing') THEN 1.0::DOUBLE WHEN starts_with(w, 'gear') AND length(w) <= 8 THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END)) AS b FROM g_fn),
+    n AS (SELECT count(*) AS n, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM s),
+    r AS (SELECT id, g, round((a * ln(1 + n / (1.0::DOUBLE + da)) + b * ln(1 + n / (1.0::DOUBLE + db))) * (0.4::DOUBLE + ((a > 0)::INT + (b > 0)::INT) / 2.0::DOUBLE), 9) AS score, CAST((a > 0)::INT + (b > 0)::INT AS BIGINT) AS covered FROM s, n)
+    SELECT id, score, covered FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, id) AS k FROM r WHERE score > 0) WHERE k <= 3 ORDER BY score DESC, id LIMIT 20""",
+    "g_fn",
+)
 def find_flows(v: Views) -> DataFrame:
     """Callables for a described behaviour."""
     named = v.functions().select("id", "name", F.col("type_id").alias("group"))
-    return textrank.find_flows(named, "blue gears", 20)
+    return textrank.find_flows(named, "blue gears", 20).withColumn("score", F.round("score", 9))
 
 
 # Channels
@@ -841,7 +847,10 @@ def pattern_template_method(v: Views) -> DataFrame:
 # Communities
 
 
-@query()
+@query(
+    "WITH p AS (SELECT s.type_id AS x, d.type_id AS y, CAST(count(*) AS DOUBLE) AS w FROM g_calls c JOIN g_fn s ON s.id = c.src JOIN g_fn d ON d.id = c.dst WHERE s.type_id <> d.type_id GROUP BY 1, 2), e AS (SELECT a, b, sum(w) AS w FROM (SELECT x AS a, y AS b, w FROM p UNION ALL SELECT y, x, w FROM p) GROUP BY 1, 2), l0 AS (SELECT DISTINCT a AS id, a AS label FROM e), n1 AS (SELECT e.a AS id, l.label, e.w FROM e JOIN l0 l ON l.id = e.b UNION ALL SELECT id, label, 0.5::DOUBLE FROM l0), s1 AS (SELECT id, label, sum(w) AS w FROM n1 GROUP BY 1, 2), l1 AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, label) AS k FROM s1) WHERE k = 1), n2 AS (SELECT e.a AS id, l.label, e.w FROM e JOIN l1 l ON l.id = e.b UNION ALL SELECT id, label, 0.5::DOUBLE FROM l1), s2 AS (SELECT id, label, sum(w) AS w FROM n2 GROUP BY 1, 2), l2 AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, label) AS k FROM s2) WHERE k = 1), n3 AS (SELECT e.a AS id, l.label, e.w FROM e JOIN l2 l ON l.id = e.b UNION ALL SELECT id, label, 0.5::DOUBLE FROM l2), s3 AS (SELECT id, label, sum(w) AS w FROM n3 GROUP BY 1, 2), l3 AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, label) AS k FROM s3) WHERE k = 1) SELECT id, label FROM l3",
+    "g_calls", "g_fn",
+)
 def label_propagation(v: Views) -> DataFrame:
     return traverse.label_rounds(communities.unit_graph(v.calls(), v.functions()), 3)
 
