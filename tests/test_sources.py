@@ -336,3 +336,26 @@ def test_index_again_equals_once(spark, indexed):
     assert changed == {"pkg.util.tool": "edited", "pkg.util.tool.inner": "removed", "pkg.util.extra": "added"}
     store.forget(["r"])
     assert store.read("nodes").count() == 0
+
+
+def test_command_line(spark, tmp_path):
+    import io
+
+    from weftgraph.__main__ import main
+
+    for path, text in SOURCES.items():
+        (tmp_path / "t" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / path).write_text(text)
+    store = str(tmp_path / "s")
+
+    def run(*argv):
+        out = io.StringIO()
+        assert main([store, *argv], spark, out) == 0
+        return out.getvalue().splitlines()
+
+    assert run("index", str(tmp_path / "t"), "r") == [] and run("snapshot", "one") == []
+    assert [json.loads(x)["dist"] for x in run("impact", "r:python:pkg.util.tool")][:2] == [0, 1]
+    assert len(run("trace", "r:python:pkg.main.show", "r:python:pkg.util.tool")) == 2
+    assert "sequenceDiagram" in run("diagram", "flow:r:python:tests.test_main.test_show")[0]
+    assert run("compare", "one") == [] and run("rules") == [""]
+    assert json.loads(run("export")[0])["nodes"]
