@@ -133,7 +133,7 @@ def test_sharding(awkward, spark):
 
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = awkward.select("doc_id", (F.octet_length(text) + 1).alias("bytes_"), F.crc32(text).alias("crc"), F.col("shard").alias("was"))
-    found = sharding.sharded(rows.drop("was"), ["doc_id", "bytes_", "crc"], rows_per_bucket=3).collect()
+    found = sharding.sharded(rows.drop("was"), ["doc_id", "bytes_", "crc"]).collect()
     n = len(awkward_rows())
     assert len(found) == n
     slots = defaultdict(list)

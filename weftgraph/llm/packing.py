@@ -19,6 +19,7 @@ Repeated rows and equal ids are packed one by one; extra columns are not read.
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -138,12 +139,15 @@ def places(runs: list[tuple[int, tuple[int, ...]]]) -> list[dict]:
     return out
 
 
-def packed(cut: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 4096) -> DataFrame:
+def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with sequence_id and offset.  ``cut`` has doc_id, piece and length and is
-    read twice: give a stored table."""
+    read twice: give a stored table.
+
+    The commonest length, of n pieces, is ranked in sqrt(n) buckets of about sqrt(n), so
+    that neither a bucket nor the list of buckets is large."""
     spark = cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    buckets = max(1, -(-max(histogram.values(), default=0) // rows_per_bucket))
+    buckets = 1 + math.isqrt(max(histogram.values(), default=0))
     dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (

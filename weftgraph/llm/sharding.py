@@ -86,13 +86,12 @@ def communication_matrix(sizes: list[int], shards: int, seed: int) -> list[list[
     return matrix
 
 
-def sharded(
-    df: DataFrame, identity: list[str], shards: int = 16, seed: int = 42, rows_per_bucket: int = 4096
-) -> DataFrame:
+def sharded(df: DataFrame, identity: list[str], shards: int = 16, seed: int = 42) -> DataFrame:
     """df with shard int and slot long (gapless from 0 in each shard).
 
     ``identity`` names columns that tell rows apart; rows equal in all of them are
-    interchangeable.
+    interchangeable.  A shard of n rows is permuted in sqrt(n) buckets of its second key,
+    so that neither a bucket nor the list of buckets is large.
     """
     spark = df.sparkSession
     local = staged(
@@ -117,7 +116,7 @@ def sharded(
     )
     if len(parts) * shards <= BROADCAST_ENTRIES:
         plan = F.broadcast(plan)
-    n_buckets = max(1, -(-sum(counts.values()) // (shards * rows_per_bucket)))
+    n_buckets = 1 + math.isqrt(sum(counts.values()) // shards)
     dealt = (
         local.join(plan, "_part")
         .withColumn("shard", F.expr("size(filter(cut, c -> c <= _rank))"))
