@@ -165,14 +165,15 @@ def prefix_offsets(df: DataFrame, order: str, counts: dict[str, str], width: int
 
 
 def labelled_sample(
-    labels: DataFrame, label: str, per_class: dict[int, int], doc_id: str = "doc_id", seed: int = 42
+    labels: DataFrame, label: str, per_class: dict[int, int], doc_id: str = "doc_id", seed: int = 42, first: int | None = None
 ) -> tuple[DataFrame, dict[int, int]]:
     """A bounded sample of the labelled rows that may be learned from, and the number
     of all of them by class.
 
     ``per_class`` bounds the rows of each class, so the sample can be broadcast.  Rows
     are taken by a hash of the id, which does not depend on order or partitions.
-    (doc_id, label, part): part is 0 for the even ranks of a class, 1 for the odd.
+    (doc_id, label, part): part is 0 for the even ranks of a class, at most ``first`` of
+    them, and 1 for the others.
     """
     spark = labels.sparkSession
     usable = (
@@ -184,7 +185,8 @@ def labelled_sample(
     rows = []
     for value, most in per_class.items():
         taken = usable.filter(F.col("label") == value).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
-        rows += [(r["doc_id"], value, i % 2) for i, r in enumerate(taken.collect())]
+        most_first = most if first is None else first
+        rows += [(r["doc_id"], value, int(i % 2 == 1 or i // 2 >= most_first)) for i, r in enumerate(taken.collect())]
     id_type = labels.schema[doc_id].dataType.simpleString()
     return spark.createDataFrame(rows, f"doc_id {id_type}, label int, part int"), counts
 

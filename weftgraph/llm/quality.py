@@ -6,9 +6,10 @@ difference of the two sizes, over the larger one; with the sizes over the length
 the length itself it enters a logistic calibration on labelled rows that are in
 neither dictionary, weighted to the class shares of all labelled rows.
 
-Bounds, all parameters: ``DICTIONARY_ROWS`` of each class are looked at for the
-dictionaries of ``DICTIONARY_BYTES`` each (texts over a sixteenth of that are left
-out there), and ``CALIBRATION_ROWS`` of each class for the calibration.  Scoring
+Bounds, all parameters: ``DICTIONARY_ROWS`` of each class, and at most half of it, are
+looked at for the dictionaries of ``DICTIONARY_BYTES`` each (texts over a sixteenth of
+that are left out there), and the rest of ``DICTIONARY_ROWS`` + ``CALIBRATION_ROWS`` for
+the calibration.  Scoring
 reads every whole text.  The score depends on the text alone.
 
 Null and empty texts get the score of an empty text.  With no usable labels of one
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import held_out, labelled_sample, lean, logistic_fit, table
 
 DICTIONARY_BYTES = 1_000_000
-DICTIONARY_ROWS = 3_000
+DICTIONARY_ROWS = 1_000
 CALIBRATION_ROWS = 6_000
 LEVEL = 6
 
@@ -112,7 +113,7 @@ def fit(
     import numpy as np
 
     most = dictionary_rows + calibration_rows
-    sample, counts = labelled_sample(labels, label, {1: most, 0: most}, doc_id)
+    sample, counts = labelled_sample(labels, label, {1: most, 0: most}, doc_id, first=dictionary_rows)
     known = sum(counts.values())
     model = QualityModel(b"", b"", level, prior=counts.get(1, 0) / known if known else 0.5)
     if len(counts) < 2:
