@@ -38,7 +38,7 @@ PERMUTATIONS, ROWS = 64, 4
 #: Rounds of one class against its bucket, before the rest is compared in blocks.
 STAR_ROUNDS = 2
 #: Classes of a bucket that one block holds, of some thousand shingles each at most on
-#: average; the rest of the bucket streams past it.
+#: average; blocks meet in pairs.
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 
 
@@ -188,10 +188,18 @@ def block_links(open_: DataFrame, sets: DataFrame, percent: int = PERCENT, block
 
     blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    # Each pair of blocks meets on its own, so that no task gets a whole large bucket.
     dealt = (
         open_.withColumn("block", own)
-        .select("key", "cls", "component", "block", F.explode(F.sequence(F.lit(0), own)).alias("part"))
-        .select("key", "part", (F.col("part") == F.col("block")).cast("int").alias("core"), "cls", "component")
+        .select("key", "cls", "component", "block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("other"))
+        .select(
+            "key",
+            F.least("block", "other").alias("part"),
+            F.greatest("block", "other").alias("with"),
+            (F.col("block") <= F.col("other")).cast("int").alias("core"),
+            "cls",
+            "component",
+        )
     )
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,11 +242,13 @@ def block_links(open_: DataFrame, sets: DataFrame, percent: int = PERCENT, block
                         found.append((cls, core[k][0]))
 
         def close():
+            """Index the core; within one block its classes meet each other."""
             nonlocal index
             if core and index is None:
                 index = indexed()
-                for k, c in enumerate(core):
-                    check(*c, k)
+                if key[1] == key[2]:
+                    for k, c in enumerate(core):
+                        check(*c, k)
 
         def rows():
             a, b = zip(*found, strict=True)
@@ -246,9 +256,9 @@ def block_links(open_: DataFrame, sets: DataFrame, percent: int = PERCENT, block
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            keys, parts, cores, ids, components = (batch.column(i).to_pylist() for i in range(5))
-            flat = batch.column(5)
-            for i, name in enumerate(zip(keys, parts, strict=True)):
+            keys, parts, others, cores, ids, components = (batch.column(i).to_pylist() for i in range(6))
+            flat = batch.column(6)
+            for i, name in enumerate(zip(keys, parts, others, strict=True)):
                 if name != key:
                     close()
                     key, core, index, parent = name, [], None, {}
@@ -267,9 +277,9 @@ def block_links(open_: DataFrame, sets: DataFrame, percent: int = PERCENT, block
     n = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         dealt.join(sets.select("cls", F.array_sort("shingles").alias("shingles")), "cls")
-        .select("key", "part", "core", "cls", "component", "shingles")
-        .repartition(n, "key", "part")
-        .sortWithinPartitions("key", "part", F.desc("core"))
+        .select("key", "part", "with", "core", "cls", "component", "shingles")
+        .repartition(n, "key", "part", "with")
+        .sortWithinPartitions("key", "part", "with", F.desc("core"))
         .mapInArrow(lean(compare), "a long, b long")
     )
 
