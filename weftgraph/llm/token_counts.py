@@ -11,6 +11,7 @@ Repeated rows count as often as they occur; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -56,9 +57,11 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     if every document is cut at n, and share_within the quantile rank of n.
     """
     own = hist.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"))
-    total = own.agg(F.sum("n_docs").alias("docs"), F.sum("tokens").alias("tokens")).first()
+    total = own.agg(F.sum("n_docs").alias("docs"), F.sum("tokens").alias("tokens"), F.max("n_tokens").alias("longest")).first()
     all_docs, all_tokens = F.lit(total["docs"] or 0), F.lit(total["tokens"] or 0)
-    before = prefix_offsets(own, "n_tokens", {"docs_shorter": "n_docs", "tokens_shorter": "tokens"})
+    # About as many buckets of lengths as lengths in a bucket.
+    width = 1 + math.isqrt(total["longest"] or 0)
+    before = prefix_offsets(own, "n_tokens", {"docs_shorter": "n_docs", "tokens_shorter": "tokens"}, width)
     within, tokens = F.col("docs_shorter") + F.col("n_docs"), F.col("tokens_shorter") + F.col("tokens")
     return before.select(
         "n_tokens",
