@@ -164,6 +164,23 @@ def test_embeddings(spark, monkeypatch):
         assert r.kept == (r.vec_id == c)
 
 
+def test_embedding_chains_in_one_block(spark):
+    """Groups of vectors that each link with their neighbours only, in any order."""
+    rng, groups, size = np.random.default_rng(5), 30, 20
+    angle = np.arange(size) * 0.3  # neighbours at cosine 0.955, the next at 0.825
+    rows = []
+    for g in range(groups):
+        v = np.zeros((size, 2 * groups))
+        v[:, 2 * g], v[:, 2 * g + 1] = np.cos(angle), np.sin(angle)
+        rows += [(g * size + k, x.tolist()) for k, x in enumerate(v)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = embedding_dedup.near_duplicates(df).collect()
+    assert {r.vec_id: r.component_id for r in found} == {i: i // size * size for i, _ in rows}
+    assert sum(r.kept for r in found) == groups
+    assert all(r.n_links == (1 if r.vec_id % size in (0, size - 1) else 2) for r in found)
+
+
 def test_embeddings_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_duplicates(df).collect() == []

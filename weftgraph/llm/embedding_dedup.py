@@ -48,21 +48,25 @@ def unit(column: pa.Array):
 
 
 def forest(match, rows, columns):
-    """(node, least) over the bipartite graph of a boolean matrix."""
+    """The least label of each row and of each column over the bipartite graph of a
+    boolean matrix; those without a link keep their own.  A node that is a row and a
+    column has two labels, and the links hold together only with both."""
     import numpy as np
 
     r, c = np.flatnonzero(match.any(axis=1)), np.flatnonzero(match.any(axis=0))
+    least_rows, least_columns = rows.astype(np.int64), columns.astype(np.int64)
     if not len(r):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return least_rows, least_columns
     own = match[np.ix_(r, c)]
     top = np.int64(2**63 - 1)
-    left, right = rows[r].astype(np.int64), columns[c].astype(np.int64)
+    left, right = least_rows[r], least_columns[c]
     while True:
         # Each side takes the least label of its partners until nothing changes.
         new_right = np.minimum(right, np.where(own, left[:, None], top).min(axis=0))
         new_left = np.minimum(left, np.where(own, new_right[None, :], top).min(axis=1))
         if (new_left == left).all() and (new_right == right).all():
-            return np.concatenate([rows[r], columns[c]]), np.concatenate([left, right])
+            least_rows[r], least_columns[c] = left, right
+            return least_rows, least_columns
         left, right = new_left, new_right
 
 
@@ -179,9 +183,9 @@ def links(kinds: DataFrame, cosine: float = COSINE, per_pivot: int = PER_PIVOT,
         def emit(match, a, b):
             (ids_a, n_a), (ids_b, n_b) = a, b
             sums_a, sums_b = match @ n_b, n_a @ match
-            nodes, least = forest(match, ids_a, ids_b)
-            label = dict(zip(nodes.tolist(), least.tolist(), strict=True))
-            rows = [(int(c), int(s), label[int(c)]) for ids, sums in ((ids_a, sums_a), (ids_b, sums_b)) for c, s in zip(ids, sums, strict=True) if s]
+            least_a, least_b = forest(match, ids_a, ids_b)
+            sides = ((ids_a, sums_a, least_a), (ids_b, sums_b, least_b))
+            rows = [(int(c), int(s), int(m)) for side in sides for c, s, m in zip(*side, strict=True) if s]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], ["cls", "links", "least"])
 
