@@ -181,6 +181,24 @@ def test_embedding_chains_in_one_block(spark):
     assert all(r.n_links == (1 if r.vec_id % size in (0, size - 1) else 2) for r in found)
 
 
+def test_embeddings_of_several_lengths(spark, monkeypatch):
+    """Each length is compared in itself, whether it has pivots or not."""
+    monkeypatch.setattr(embedding_dedup.links, "__defaults__", (0.95, 60, 32))
+    rng = np.random.default_rng(9)
+    good = {}
+    for length, count in ((3, 200), (8, 300), (5, 40), (1, 3), (12, 1)):
+        base = rng.normal(size=(max(1, count // 4), length))
+        for k in range(count):
+            good[len(good)] = base[k % len(base)] + rng.normal(size=length) * (0.15 if k % 3 else 0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in good.items()], "vec_id long, embedding array<double>")
+    ids = list(good)
+    unit = [v / np.linalg.norm(v) for v in good.values()]
+    match = np.array([[a != b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95 for b in ids] for a in ids])
+    component = components(len(ids), [(int(a), int(b)) for a, b in np.argwhere(match)])
+    found = embedding_dedup.near_duplicates(df.repartition(5)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {i: (int(match[i].sum()), component[i]) for i in ids}
+
+
 def test_embeddings_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_duplicates(df).collect() == []

@@ -12,9 +12,12 @@ precision.
 Equal vectors are one class, compared once and counted by their number.  A block
 emits sums and a spanning forest, never its pairs.
 
-Vectors that are null, zero, hold null or non-finite components, are not of the
-usual length, or have a null id link with nothing and stay.  Rows repeated with their
-id count as one vector.  Labels and extra columns are not read.
+Vectors of one length are compared with each other: each length has its own cells,
+and pivots by its share of the table.
+
+Vectors that are null, zero, hold null or non-finite components, or have a null id
+link with nothing and stay.  Rows repeated with their id count as one vector.  Labels
+and extra columns are not read.
 """
 
 from __future__ import annotations
@@ -47,6 +50,17 @@ def unit(column: pa.Array):
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def by_length(batch: pa.RecordBatch, vectors: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The batch by the length of its vectors."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lengths = pc.list_value_length(batch.column(vectors)).to_numpy()
+    own = np.unique(lengths)
+    for d in own:
+        yield int(d), batch if len(own) == 1 else batch.filter(pa.array(lengths == d))
+
+
 def forest(match, rows, columns):
     """The least label of each row and of each column over the bipartite graph of a
     boolean matrix; those without a link keep their own.  A node that is a row and a
@@ -72,7 +86,6 @@ def forest(match, rows, columns):
 
 def classes(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, DataFrame]:
     """Usable (vec_id, v), and (cls, v, first_id, n): one row per distinct vector."""
-    spark = vectors.sparkSession
     v = F.col(embedding)
     usable = vectors.select(F.col(vec_id).alias("vec_id"), v.alias("v")).filter(
         F.col("vec_id").isNotNull()
@@ -83,8 +96,6 @@ def classes(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame,
             F.lit(False),
         )
     )
-    usual = usable.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    usable = usable.filter(F.size("v") == (usual["d"] if usual else 0))
     distinct = (
         usable.groupBy("v", "vec_id")
         .agg(F.lit(1).alias("one"))
@@ -101,80 +112,97 @@ def links(kinds: DataFrame, cosine: float = COSINE, per_pivot: int = PER_PIVOT,
 
     spark = kinds.sparkSession
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
-    total = kinds.count()
-    n_pivots = max(1, min(MOST_PIVOTS, total // per_pivot))
-    drawn = kinds.orderBy(F.xxhash64("v"), "cls").limit(n_pivots).select("v").collect()
     schema = "cls long, n long, v array<double>"
     out = "cls long, links long, least long"
-    if not drawn:
-        return spark.createDataFrame([], out)
-    pivots = unit(pa.array([r["v"] for r in drawn], pa.list_(pa.float64())))
-    between = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+    total = kinds.count()
+    # Lengths with few vectors are one cell, so there are at most MOST_PIVOTS pivots in all.
+    n_pivots = F.least(F.floor(F.col("rows") / per_pivot), F.floor(F.col("rows") * MOST_PIVOTS / max(total, 1)))
+    large = kinds.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("rows")).select("d", n_pivots.alias("k")).filter("k > 1")
+    pivots, between = {}, {}
+    for r in large.collect():
+        drawn = kinds.filter(F.size("v") == r["d"]).orderBy(F.xxhash64("v"), "cls").limit(r["k"]).select("v").collect()
+        pivots[r["d"]] = p = unit(pa.array([r["v"] for r in drawn], pa.list_(pa.float64())))
+        between[r["d"]] = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
 
     def distances(x):
-        return np.sqrt(np.maximum(0, 2 - 2 * (x @ pivots.T)))
+        return np.sqrt(np.maximum(0, 2 - 2 * (x @ pivots[x.shape[1]].T)))
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = unit(batch.column(2))
-            d = distances(x)
-            own = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())),
-                    pa.array(own, pa.int32()),
-                    pa.array(d[np.arange(len(x)), own], pa.float64()),
-                ],
-                ["cls", "n", "v", "cell", "d"],
-            )
+        for whole in batches:
+            for length, batch in by_length(whole, 2):
+                x = unit(batch.column(2))
+                own, mine = np.zeros(len(x), np.int64), np.zeros(len(x))
+                if length in pivots:
+                    d = distances(x)
+                    own = d.argmin(axis=1)
+                    mine = d[np.arange(len(x)), own]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        batch.column(1),
+                        pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())),
+                        pa.array(own, pa.int32()),
+                        pa.array(mine, pa.float64()),
+                    ],
+                    ["cls", "n", "v", "cell", "d"],
+                )
 
     cells = staged(kinds.select("cls", "n", "v").mapInArrow(lean(assign), schema + ", cell int, d double"), "cells")
-    stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("d").alias("far")).collect()  # a row per pivot
-    blocks = np.zeros(len(pivots), np.int64)
-    far = np.full(len(pivots), -1.0)
+    stats = (
+        cells.groupBy(F.size("v").alias("length"), "cell")
+        .agg(F.count(F.lit(1)).alias("rows"), F.max("d").alias("far"))
+        .filter((F.col("rows") > block) | F.col("length").isin(list(pivots)))
+        .collect()  # a row per pivot, and per other length of more than a block
+    )
+    blocks = {d: np.zeros(len(p), np.int64) for d, p in pivots.items()}
+    far = {d: np.full(len(p), -1.0) for d, p in pivots.items()}
     for r in stats:
-        blocks[r["cell"]], far[r["cell"]] = -(-r["rows"] // block), r["far"]
+        n_blocks = -(-r["rows"] // block)
+        if r["length"] in pivots:
+            blocks[r["length"]][r["cell"]], far[r["length"]][r["cell"]] = n_blocks, r["far"]
+        else:
+            blocks[r["length"]] = np.array([n_blocks])
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row to its block as core, to the earlier blocks of its cell and to all
         blocks of the later cells in reach as a visitor."""
-        for batch in batches:
-            if not len(batch):
-                continue
-            x, own = unit(batch.column(2)), batch.column(3).to_numpy()
-            d = distances(x)
-            mine = d[np.arange(len(x)), own][:, None]
-            plane = (d * d - mine * mine) / np.maximum(2 * between[own], 1e-12)
-            reach = (plane <= radius) & (d <= radius + far[None, :] + 1e-9) & (np.arange(len(pivots))[None, :] > own[:, None])
-            row, cell, part, core = [], [], [], []
-            at = batch.column(0).to_numpy() % np.maximum(blocks[own], 1)
-            for i in range(len(x)):
-                row += [i] * int(at[i] + 1)
-                cell += [int(own[i])] * int(at[i] + 1)
-                part += range(int(at[i]) + 1)
-                core += [0] * int(at[i]) + [1]
-                for j in np.flatnonzero(reach[i]):
-                    k = int(blocks[j])
-                    row += [i] * k
-                    cell += [int(j)] * k
-                    part += range(k)
-                    core += [0] * k
-                if len(row) >= 20_000 or i == len(x) - 1:
-                    take = pa.array(row, pa.int32())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(cell, pa.int32()),
-                            pa.array(part, pa.int32()),
-                            pa.array(core, pa.int32()),
-                            *(batch.column(k).take(take) for k in range(3)),
-                        ],
-                        ["cell", "part", "core", "cls", "n", "v"],
-                    )
-                    row, cell, part, core = [], [], [], []
+        for whole in batches:
+            for length, batch in by_length(whole, 2):
+                x, own = unit(batch.column(2)), batch.column(3).to_numpy()
+                n_blocks = blocks.get(length, np.ones(1, np.int64))
+                reach = np.zeros((len(x), len(n_blocks)), bool)
+                if length in pivots:
+                    d = distances(x)
+                    mine = d[np.arange(len(x)), own][:, None]
+                    plane = (d * d - mine * mine) / np.maximum(2 * between[length][own], 1e-12)
+                    later = np.arange(len(n_blocks))[None, :] > own[:, None]
+                    reach = (plane <= radius) & (d <= radius + far[length][None, :] + 1e-9) & later
+                row, cell, part, core = [], [], [], []
+                at = batch.column(0).to_numpy() % np.maximum(n_blocks[own], 1)
+                for i in range(len(x)):
+                    row += [i] * int(at[i] + 1)
+                    cell += [int(own[i])] * int(at[i] + 1)
+                    part += range(int(at[i]) + 1)
+                    core += [0] * int(at[i]) + [1]
+                    for j in np.flatnonzero(reach[i]):
+                        k = int(n_blocks[j])
+                        row += [i] * k
+                        cell += [int(j)] * k
+                        part += range(k)
+                        core += [0] * k
+                    if len(row) >= 20_000 or i == len(x) - 1:
+                        take = pa.array(row, pa.int32())
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([length] * len(row), pa.int32()),
+                                pa.array(cell, pa.int32()),
+                                pa.array(part, pa.int32()),
+                                pa.array(core, pa.int32()),
+                                *(batch.column(k).take(take) for k in range(3)),
+                            ],
+                            ["length", "cell", "part", "core", "cls", "n", "v"],
+                        )
+                        row, cell, part, core = [], [], [], []
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by block, core rows first."""
@@ -201,16 +229,16 @@ def links(kinds: DataFrame, cosine: float = COSINE, per_pivot: int = PER_PIVOT,
 
         core = None
         for batch in batches:
-            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            is_core = batch.column(2).to_numpy()
-            ids, n = batch.column(3).to_numpy(), batch.column(4).to_numpy().astype(np.float64)
-            x = batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            is_core = batch.column(3).to_numpy()
+            ids, n = batch.column(4).to_numpy(), batch.column(5).to_numpy().astype(np.float64)
             at = 0
             while at < len(batch):
                 end = at
                 while end < len(batch) and names[end] == names[at] and is_core[end] == is_core[at]:
                     end += 1
-                own = (ids[at:end], n[at:end], x[at:end])
+                x = batch.column(6).slice(at, end - at).flatten().to_numpy(zero_copy_only=False)
+                own = (ids[at:end], n[at:end], x.reshape(end - at, -1))
                 if names[at] != key:
                     if held:
                         yield from inside(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
@@ -232,9 +260,9 @@ def links(kinds: DataFrame, cosine: float = COSINE, per_pivot: int = PER_PIVOT,
             yield from inside(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return (
-        cells.mapInArrow(lean(deal), "cell int, part int, core int, " + schema)
-        .repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "cell", "part")
-        .sortWithinPartitions("cell", "part", F.desc("core"))
+        cells.mapInArrow(lean(deal), "length int, cell int, part int, core int, " + schema)
+        .repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "length", "cell", "part")
+        .sortWithinPartitions("length", "cell", "part", F.desc("core"))
         .mapInArrow(lean(compare), out)
     )
 
