@@ -61,6 +61,25 @@ def test_quality(labelled):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in rows if r.predicted)
 
 
+def test_quality_of_very_long_texts(spark):
+    """Texts far longer than any learned from get the verdict of their parts."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(8000)]
+    text = lambda good, n: " ".join(rng.choices(words[:4000] if good else words[4000:], k=n))
+    docs = [(i, text(i % 2, rng.randrange(20, 200))) for i in range(1200)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = quality.fit(d, spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, quality int"))
+    for good in (0, 1):
+        for n in (2_000, 100_000, 350_000):  # from ten times the longest to 3 MB
+            long = text(good, n)
+            x, start = model.features([long]), model.features([long[:18_000]])
+            assert (model.scores(x)[0] >= 0.5) == bool(good)
+            # The whole tells the classes apart as well as its start does.
+            assert x[0, 0] * start[0, 0] > 0 and abs(x[0, 0]) > 0.5 * abs(start[0, 0]), (n, x, start)
+    # Length alone does not carry the score beyond what was learned from.
+    assert model.scores(x) == pytest.approx(model.scores(np.c_[x[:, :3], [[model.lengths[1]]]]))
+
+
 def test_toxicity(labelled):
     docs, d, labels = labelled
     model = toxicity.fit(d, labels)

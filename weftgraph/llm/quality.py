@@ -1,10 +1,12 @@
 """Quality by compression: zstandard dictionaries of good and bad text.
 
 Two dictionaries hold whole labelled texts, one of good and one of bad documents.
-Every document is compressed with each.  What tells the classes apart is the
+Every document is compressed with each, in blocks of ``BLOCK_BYTES`` that all start
+from the dictionary, so that a long text does not outgrow what it gives.  What tells the classes apart is the
 difference of the two sizes, over the larger one; with the sizes over the length and
 the length itself it enters a logistic calibration on labelled rows that are in
-neither dictionary, weighted to the class shares of all labelled rows.
+neither dictionary, weighted to the class shares of all labelled rows.  Lengths beyond
+those of the calibration count as its longest or shortest.
 
 Bounds, all parameters: ``DICTIONARY_ROWS`` of each class, and at most half of it, are
 looked at for the dictionaries of ``DICTIONARY_BYTES`` each (texts over a sixteenth of
@@ -32,6 +34,8 @@ DICTIONARY_BYTES = 1_000_000
 DICTIONARY_ROWS = 1_000
 CALIBRATION_ROWS = 6_000
 LEVEL = 6
+#: zstandard uses a dictionary in place for inputs up to this size.
+BLOCK_BYTES = 32_768
 
 
 @dataclass
@@ -45,6 +49,8 @@ class QualityModel:
     mean: list[float] = field(default_factory=list)
     scale: list[float] = field(default_factory=list)
     prior: float = 0.5
+    #: Least and greatest log length of the calibration.
+    lengths: tuple[float, float] = (0.0, float("inf"))
 
     def compressors(self):
         import zstandard as zs
@@ -64,7 +70,8 @@ class QualityModel:
         rows = []
         for text in texts:
             data = (text or "").encode("utf-8", "replace")
-            g, b, n = len(good.compress(data)), len(bad.compress(data)), len(data) + 1
+            blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)] or [data]
+            g, b, n = sum(len(good.compress(c)) for c in blocks), sum(len(bad.compress(c)) for c in blocks), len(data) + 1
             rows.append(((b - g) / max(g, b), g / n, b / n, np.log(n)))
         return np.array(rows, dtype=float).reshape(-1, 4)
 
@@ -79,6 +86,7 @@ class QualityModel:
 
         if not self.weights:
             return np.full(len(x), self.prior)
+        x = np.c_[x[:, :3], np.clip(x[:, 3], *self.lengths)]
         a = np.c_[(self.expanded(x) - np.array(self.mean)) / np.array(self.scale), np.ones(len(x))]
         return 1 / (1 + np.exp(-np.clip(a @ np.array(self.weights), -40, 40)))
 
@@ -145,6 +153,7 @@ def fit(
     y = rows["label"].to_numpy(float)
     if len(set(y)) < 2:
         return model
+    model.lengths = float(rows["f3"].min()), float(rows["f3"].max())
     x = model.expanded(rows[["f0", "f1", "f2", "f3"]].to_numpy(float))
     model.mean, model.scale = x.mean(0).tolist(), (x.std(0) + 1e-9).tolist()
     weights = np.where(y == 1, counts[1] / known / (y == 1).mean(), counts[0] / known / (y == 0).mean())
