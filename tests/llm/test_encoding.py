@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -102,6 +103,18 @@ def test_token_files(awkward, spark):
     assert store.get(12) is not None and store.get(999_999) is None and store.get(-99) is None
 
 
+def test_token_files_rest_on_the_index(awkward, spark):
+    """A wrong offset or length in an index shows, whatever the order of writing says."""
+    for wrong in ("offsets", "sizes"):
+        manifest = token_files.write_token_files(awkward, new_folder(spark, "t"), shard_ids=2000)
+        path = max(manifest.collect(), key=lambda r: r["n_docs"])["path"] + ".idx"
+        index = token_files.Index.from_bytes(token_files.read_file(path))
+        setattr(index, wrong, getattr(index, wrong) + (np.arange(len(index.prints)) == 1))
+        token_files.write_file(path, index.to_bytes())
+        with pytest.raises(Exception, match="wrong place in the index"):
+            token_files.read_token_files(manifest).collect()
+
+
 def test_token_files_with_wide_ids(awkward, spark):
     manifest = token_files.write_token_files(awkward, new_folder(spark, "t"), end_id=70_000)
     assert token_files.TokenStore(manifest).get(4).tolist()[-1] == 70_000

@@ -257,10 +257,14 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 ids = np.frombuffer(data, f"<u{width}", offset=8)
                 in_order = np.cumsum(index.lengths) - index.lengths
                 at, n = index.find(index.keys)
-                # Only null keys and further rows with a key differ from the order of writing.
-                other = ~index.known | (at != in_order)
+                # Only null keys and further rows with a key are read in the order of writing.
+                other = np.ones(len(index.keys), bool)
+                rows = np.flatnonzero(index.known)
+                other[rows[np.unique(index.keys[rows], return_index=True)[1]]] = False
                 if (at[index.known] < 0).any():
                     raise ValueError(f"a key is missing from the index of {row['path']}")
+                if ((at != in_order) | (n != index.lengths))[~other].any():
+                    raise ValueError(f"a key has a wrong place in the index of {row['path']}")
                 at, n = np.where(other, in_order, at), np.where(other, index.lengths, n)
                 crc = [zlib.crc32(ids[a : a + k].astype("<u4")) for a, k in zip(at.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
