@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from weftgraph.plans import catalog
+from weftgraph.schema import FLOW_DEPTH
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
@@ -38,3 +39,8 @@ def test_query(spark, duck, name):
     assert sorted(types) == columns
     assert {c: TYPES[t] for c, t in df.dtypes} == types
     assert plain(rows) == plain([tuple(r[i] for i in order) for r in found.fetchall()])
+
+
+def test_flows_are_walked_to_the_default_depth(spark):
+    rows = QUERIES["dfs_flows"](spark, SF).select("depth").collect()
+    assert max(r.depth for r in rows) == FLOW_DEPTH

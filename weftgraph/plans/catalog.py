@@ -289,7 +289,7 @@ def assess_roles(v: Views) -> DataFrame:
 def dfs_flows(v: Views) -> DataFrame:
     """Depth-first walks from the least callable of each type."""
     starts = v.functions().groupBy("type_id").agg(F.min("id").alias("entry")).select(F.col("entry").alias("id"), "entry")
-    return traverse.walks(starts, v.calls(), depth=3, most=300)
+    return traverse.walks(starts, v.calls())
 
 
 @query(
