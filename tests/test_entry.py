@@ -3,6 +3,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__
 
 REPO = Path(__file__).resolve().parents[1]
@@ -22,3 +24,19 @@ def test_entry_works_without_the_training_data_operators(tmp_path):
     shutil.copytree(REPO / "weftgraph", tmp_path / "weftgraph", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'module_edges' in q and not [k for k in q if k.startswith('op') or k == 'pipeline']"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    """A machine-local folder is made only where everything runs on one machine."""
+    from types import SimpleNamespace
+
+    from weftgraph import runtime
+
+    def session(master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda path: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
+
+    for master in ("yarn", "spark://h:7077", "k8s://h", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            runtime.shared_dir(session(master))
+    assert runtime.shared_dir(session("local[4]")).startswith("file://")

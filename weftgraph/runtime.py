@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,9 +16,13 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where it is unset
+    and everything runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:  # one machine, as in tests: removed when this process ends
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # removed when this process ends
         own = tempfile.mkdtemp(prefix="weftgraph-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
