@@ -1,11 +1,17 @@
+import math
+import os
 import random
+import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import quality, toxicity
+from weftgraph.llm import quality, registry, toxicity
 from weftgraph.llm.common import held_out, labelled_sample, logistic_fit
 
 RUDE = ["nastyword", "foulterm", "vileslur"]
@@ -123,9 +129,111 @@ def test_label_model_finds_accuracies():
     accurate = [0.95, 0.9, 0.8, 0.7, 0.85]
     m = np.stack([np.where(rng.random(4000) < a, np.where(y, 1, -1), np.where(y, -1, 1)) for a in accurate], axis=1).astype(float)
     m = np.c_[m, m[:, 3]]  # a voter that copies another
-    post, found, correlation = toxicity.label_model(m, 0.3)
+    post, found, correlation, parents = toxicity.label_model(m, 0.3)
     assert found[:3] == pytest.approx(accurate[:3], abs=0.05)
     assert correlation[3, 5] > 0.9 and ((post > 0.5) == y).mean() > 0.95
+    # The copy hangs on its original, so what both say counts once.
+    assert (parents[3], parents[5]) in ((-1, 3), (5, -1)) and (parents[[0, 1, 2, 4]] == -1).all()
+    alone = toxicity.label_model(m[:, :5], 0.3)[0]
+    assert np.abs(post - alone).max() < 0.02
+
+
+def test_useful_voters():
+    y = np.array([1, 1, 0, 0, 0, 0, 0, 0], float)
+    m = np.array([[1, 0, 1, 0], [1, 0, 0, 0], [0, -1, 0, 0], [0, -1, 1, 0], [0, 0, 1, 0], [0, -1, 1, 0], [0, 0, 1, 0], [0, -1, 1, 0]], float)
+    assert toxicity.useful(m, y, np.ones(8)).tolist() == [0, 1]
+
+
+def brute_toxicity(model, text):
+    """The score of one text, from the model's entries and weights alone."""
+    own = re.findall(r"\w+", text.lower()) if text else []
+
+    def has(entry):
+        kind, rest = entry[0], entry[1:]
+        if kind == "=":
+            return rest in own
+        on = [w for w in own if w.startswith(rest)]
+        if kind == "~":
+            return len(set(on)) > 1 and len(on) / len(own) >= toxicity.FAMILY_SHARE
+        assert len(rest) == int(kind)
+        return bool(on)
+
+    hits = [w for e, w in zip(model.entries, model.weights, strict=True) if has(e)]
+    return 1 / (1 + math.exp(-(model.intercept + sum(hits) + (model.any_weight if hits else 0.0))))
+
+
+def brute_quality(model, text):
+    import zstandard as zs
+
+    data = (text or "").encode()
+    blocks = [data[i : i + quality.BLOCK_BYTES] for i in range(0, max(len(data), 1), quality.BLOCK_BYTES)]
+
+    def size(content):
+        dictionary = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
+        return sum(len(zs.ZstdCompressor(level=model.level, dict_data=dictionary, write_content_size=False).compress(b)) for b in blocks)
+
+    g, b, n = size(model.good), size(model.bad), len(data) + 1
+    x = [(b - g) / max(g, b), g / n, b / n, min(max(math.log(n), model.lengths[0]), model.lengths[1])]
+    x += [v * v for v in x] + [x[0] * x[1], x[0] * x[3]]
+    z = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale, strict=False)) + model.weights[-1]
+    return 1 / (1 + math.exp(-z))
+
+
+@pytest.mark.parametrize("name, module, brute", [("op3_quality", quality, brute_quality), ("op7_toxicity", toxicity, brute_toxicity)])
+def test_queries_against_brute_force(spark, name, module, brute):
+    """Every row of the query, over a whole table, against a plain scorer of one text."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = module.fit(docs, labels)
+    rows = {r.doc_id: r for r in registry.QUERIES[name](spark, "/root/testdata/sf0.01").collect()}
+    texts = docs.collect()
+    assert len(rows) == len(texts)
+    for d in texts:
+        r = rows[d.doc_id]
+        assert r.score == pytest.approx(brute(model, d.text), abs=1e-9)
+        assert r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 3 == 1)
+        assert r.predicted == int(r.score >= (0.5 if module is quality else 0.7))
+
+
+def test_held_out_toxic_texts_are_found(spark):
+    """On the larger given table; one toxic text in twenty shows no sign of it there."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = registry.QUERIES["op7_toxicity"](spark, "/root/testdata/sf0.1").filter("held_out").join(labels, "doc_id").collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == v] for v in (1, 0))
+    assert len(toxic) > 100 and np.mean(toxic) >= 0.9 and np.mean(clean) <= 0.01
+    assert docs.count() > 0
+
+
+HIDDEN = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "2").getOrCreate())
+
+def seen(batches):
+    import importlib.util
+    import pyarrow as pa
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([importlib.util.find_spec("weftgraph") is not None])], ["seen"])
+
+assert not any(r.seen for r in spark.range(4).mapInArrow(seen, "seen boolean").collect())
+import corpus_pipeline
+from weftgraph.llm import registry
+for name in ("op2_embedding_dedup", "op3_quality", "op7_toxicity"):
+    assert registry.QUERIES[name](spark, {sf!r}).count() > 0
+assert corpus_pipeline.run(spark, {sf!r}).count() > 0
+print("ALL WELL")
+"""
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    """The package is on the driver's path only; executors get functions and models by value."""
+    root = str(Path(registry.__file__).resolve().parents[2])
+    script = tmp_path / "hidden.py"
+    script.write_text(HIDDEN.format(root=root, sf="/root/testdata/sf0.001"))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith("PYSPARK_GATEWAY")}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "ALL WELL" in done.stdout, done.stderr[-3000:]
 
 
 def test_logistic_fit():

@@ -5,9 +5,13 @@ from __future__ import annotations
 import base64
 import json
 import os
+import pickle
 import sys
 import types
+from collections.abc import Callable
 
+from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,35 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_weftgraph_worker_cache", types.ModuleType("cache")).__dict__
 
 
+def by_value(spark: SparkSession, value) -> Callable:
+    """A function that gives value on executors.  A broadcast alone would pickle the value's
+    class by reference, and executors need not have the package."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(data.value)
+
+
+def identified(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with two more columns, and their names, that together tell its rows apart.
+
+    Of files these are the path and the row's index in the file, which every scan gives
+    alike however the files are split; of anything else, of a stored copy.
+    """
+    names = ["_file", "_at"]
+    while set(names) & set(df.columns):
+        names = [n + "_" for n in names]
+
+    def marked(of: DataFrame) -> DataFrame:
+        meta = of.metadataColumn("_metadata")
+        return of.select("*", meta["file_path"].alias(names[0]), meta["row_index"].alias(names[1]))
+
+    try:
+        out = marked(df)
+        out.schema  # noqa: B018  resolves the columns
+        return out, names
+    except AnalysisException:
+        return marked(staged(df, "identified")), names
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

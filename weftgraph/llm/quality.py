@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import held_out, labelled_sample, lean, logistic_fit, table
+from weftgraph.llm.common import by_value, held_out, labelled_sample, lean, logistic_fit, table
 
 DICTIONARY_BYTES = 1_000_000
 DICTIONARY_ROWS = 1_000
@@ -93,11 +93,11 @@ class QualityModel:
 
 def _features_frame(docs: DataFrame, model: QualityModel, keep: str) -> DataFrame:
     """Of docs (text, <keep>) the features and the kept column."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
+    shared = by_value(docs.sparkSession, model)  # two dictionaries of a fixed size
     kind = docs.schema[keep].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = shared()
         for batch in batches:
             x = own.features(v.as_py() for v in batch.column(0))
             yield pa.RecordBatch.from_arrays(
@@ -163,11 +163,11 @@ def fit(
 
 def scored(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
+    shared = by_value(docs.sparkSession, model)  # two dictionaries of a fixed size
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = shared()
         for batch in batches:
             s = own.scores(own.features(v.as_py() for v in batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
@@ -181,11 +181,11 @@ def scored(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: s
 
 def accepted(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, whose score reaches the threshold; texts are not moved."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = by_value(docs.sparkSession, model)
     at = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = shared()
         for batch in batches:
             s = own.scores(own.features(v.as_py() for v in batch.column(at)))
             yield batch.filter(pa.array(s >= threshold))
