@@ -47,51 +47,59 @@ def chunk_table(docs: DataFrame, text: str = "text", hashed=chunk_hash) -> DataF
     )
 
 
-def recipes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hashed=chunk_hash) -> DataFrame:
-    """(doc_id, row, text_sha256, ids): the ordered verified identifiers of each row."""
+def recipes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hashed=chunk_hash, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, row, text_sha256, ids, *carry), stored: the ordered verified identifiers of each row."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(doc_id).alias("doc_id"), whole.alias("text")).withColumn("row", F.monotonically_increasing_id())
-    lists = staged(
-        base.select(
+    base = docs.select(F.col(doc_id).alias("doc_id"), whole.alias("text"), *carry).withColumn("row", F.monotonically_increasing_id())
+
+    def listed(of: DataFrame) -> DataFrame:
+        return of.select(
             "doc_id",
             "row",
             F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
             F.transform(chunks(F.col("text")), hashed).alias("ids"),
-        ),
-        "recipes",
-    )
+            *carry,
+        )
+
+    lists = staged(listed(base), "recipes")
     store = chunk_table(docs, text, hashed)
     shared = staged(store.groupBy("hash").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "shared-hashes")
     if shared.isEmpty():
         return lists
+    # Colliding hashes: the rows are stored with their numbers, so that both readings name them alike.
+    base = staged(base, "numbered-texts")
     ranks = store.join(shared, "hash", "left_semi").withColumn(
         "rank", F.row_number().over(Window.partitionBy("hash").orderBy("chunk"))
     )
     at = (
-        docs.select(F.col(doc_id).alias("doc_id"), whole.alias("text"))
-        .withColumn("row", F.monotonically_increasing_id())
-        .select("row", F.posexplode(chunks(F.col("text"))).alias("pos", "chunk"))
+        base.select("row", F.posexplode(chunks(F.col("text"))).alias("pos", "chunk"))
         .withColumn("hash", hashed(F.col("chunk")))
         .join(ranks.select("hash", "chunk", "rank"), ["hash", "chunk"])
         .groupBy("row")
         .agg(F.map_from_entries(F.collect_list(F.struct("pos", "rank"))).alias("ranks"))
     )
-    return lists.join(at, "row", "left").select(
-        "doc_id",
-        "row",
-        "text_sha256",
-        F.transform("ids", lambda h, i: F.struct(h.alias("hash"), F.coalesce(F.col("ranks")[i], F.lit(0)).alias("rank"))).alias(
-            "ids"
+    return staged(
+        listed(base)
+        .join(at, "row", "left")
+        .select(
+            "doc_id",
+            "row",
+            "text_sha256",
+            F.transform(
+                "ids", lambda h, i: F.struct(h.alias("hash"), F.coalesce(F.col("ranks")[i], F.lit(0)).alias("rank"))
+            ).alias("ids"),
+            *carry,
         ),
+        "ranked-recipes",
     )
 
 
-def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hashed=chunk_hash) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chunks, row.
-
-    ``row`` is monotonically_increasing_id() of docs, for joining back.
-    """
-    lists = recipes(docs, doc_id, text, hashed)
+def exact_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hashed=chunk_hash, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chunks, and
+    the columns of docs that ``carry`` names."""
+    lists = recipes(docs, doc_id, text, hashed, carry)
     # Stored, so that the join deals both sides out afresh and adaptive execution can
     # split a group that holds much of the table.
     groups = staged(
@@ -109,7 +117,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         (F.col("row") == F.col("keep_row")).alias("kept"),
         "text_sha256",
         F.size("ids").cast("long").alias("n_chunks"),
-        "row",
+        *carry,
     )
 
 
@@ -119,11 +127,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: As the operator has it, of rows repeated with the largest doc_id of a group one stays, and
+#: of groups without any doc_id as well; the given ids are unique.
 ORACLE_SQL = """
 SELECT doc_id,
        max(doc_id) OVER g AS keep_id,
        count(*) OVER g AS group_size,
-       doc_id = max(doc_id) OVER g AS kept,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 WINDOW g AS (PARTITION BY coalesce(text, ''))

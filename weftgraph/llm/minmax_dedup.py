@@ -105,8 +105,10 @@ def band_keys(sets: list, permutations: int = PERMUTATIONS, rows: int = ROWS):
 
 
 def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Of docs (doc_id, text): doc_id, n_shingles, s1, s2 (a 128-bit hash of the set), bands."""
+    """Of docs (doc_id, text, more): doc_id, n_shingles, s1, s2 (a 128-bit hash of the set), bands, more."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
+    carried = docs.columns[2:]
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -128,11 +130,12 @@ def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         *(pa.array(both[:, k].astype(np.int64)) for k in (0, 1)),
                         pa.array(bands, pa.list_(pa.int64())),
+                        *batch.columns[2:],
                     ],
-                    ["doc_id", "n_shingles", "s1", "s2", "bands"],
+                    ["doc_id", "n_shingles", "s1", "s2", "bands", *carried],
                 )
 
-    return docs.mapInArrow(lean(sign), f"doc_id {id_type}, n_shingles long, s1 long, s2 long, bands array<long>")
+    return docs.mapInArrow(lean(sign), f"doc_id {id_type}, n_shingles long, s1 long, s2 long, bands array<long>{more}")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
@@ -285,15 +288,18 @@ def block_links(open_: DataFrame, sets: DataFrame, percent: int = PERCENT, block
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    words: int = WORDS,
+    percent: int = PERCENT,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, row for every row of docs.
-
-    ``row`` numbers the rows as monotonically_increasing_id() of docs does.  Of a group
-    one row of the least doc_id is kept.
-    """
+    """doc_id, n_shingles, component_id, kept for every row of docs, and the columns of docs
+    that ``carry`` names.  Of a group one row of the least doc_id is kept."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = staged(signed(own, words).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    with_more = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *carry)
+    rows = staged(signed(with_more, words).withColumn("row", F.monotonically_increasing_id()), "signatures")
     linkable = rows.filter("n_shingles > 0 and doc_id is not null")
     kinds = staged(
         linkable.groupBy("n_shingles", "s1", "s2")
@@ -383,7 +389,7 @@ def near_duplicates(
             "n_shingles",
             F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
             F.when(alone, F.lit(True)).otherwise(F.col("row") == F.col("kept_row")).alias("kept"),
-            "row",
+            *carry,
         )
     )
 
