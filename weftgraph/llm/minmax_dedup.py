@@ -396,3 +396,37 @@ def near_duplicates(
 
 def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id,
+         regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'
+         ) AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id,
+         CASE WHEN len(w) = 0 THEN []
+              WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+              ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM words
+), shingle AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS h FROM sets
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
+  FROM shingle a JOIN shingle b ON a.h = b.h AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM shared WHERE 100 * common >= 80 * (na + nb - common)
+), reach(a, b) AS (
+  SELECT a, b FROM link
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), least_of AS (
+  SELECT a, min(b) AS low FROM reach GROUP BY a
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id,
+       doc_id = least(doc_id, coalesce(low, doc_id)) AS kept
+FROM sets LEFT JOIN least_of ON a = doc_id
+"""

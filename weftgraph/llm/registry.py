@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op5_minmax_dedup": minmax_dedup.ORACLE_SQL,
 }
