@@ -1,9 +1,11 @@
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -147,6 +149,46 @@ def test_sharding_of_nothing(empty):
     assert sharding.sharded(empty.select("doc_id"), ["doc_id"]).collect() == []
 
 
+def test_sharding_keeps_columns_of_any_name(awkward, spark, tmp_path):
+    """Columns under the names that the operator uses inside, and its own."""
+    names = ["key", "id", "at", "part", "rank", "second", "bucket", "in", "start", "cut", "row", "_key", "n"]
+    df = awkward.select("doc_id", "text", *(F.concat(F.lit(c), F.coalesce("doc_id", F.lit(0))).alias(c) for c in names), F.lit(99).alias("shard"))
+    found = sharding.sharded(df, ["doc_id", "text"], 5)
+    assert found.columns == [*df.columns[:-1], "shard", "slot"]
+    key = lambda r: tuple(str(r[c]) for c in df.columns[:-1])
+    assert sorted(map(key, found.collect())) == sorted(map(key, df.collect()))
+    path = tmp_path.as_uri() + "/shards"
+    sharding.write_shards(df, ["doc_id", "text"], path, 5)
+    back = spark.read.parquet(path)
+    assert sorted(map(key, back.collect())) == sorted(map(key, df.collect()))
+    sizes = Counter(r.shard for r in back.collect())
+    assert [sizes[k] for k in range(5)] == sharding.shard_sizes(df.count(), 5)
+
+
+@pytest.mark.parametrize("n", [10**3, 10**6, 10**9, 10**12])
+def test_probabilities_sum_to_one(n):
+    """Over all that is not below 1e-30, in the sizes of a cluster's partitions and shards."""
+    good, draws = n // 16, n // 1000
+    mean = draws * good / n
+    wide = int(12 * math.sqrt(mean) + 40)
+    ks = range(max(0, int(mean) - wide), min(good, draws, int(mean) + wide) + 1)
+    step = max(1, len(ks) // 40_000)  # an equidistant sum of a smooth peak is as exact
+    total = step * sum(math.exp(sharding.log_hypergeometric(k, good, n - good, draws)) for k in ks[::step])
+    assert total == pytest.approx(1, abs=1e-9)
+
+
+def test_draws_follow_the_law():
+    rng = random.Random(8)
+    for good, bad, draws in ((3, 4, 5), (30, 70, 20), (1000, 15_000, 400), (1, 10**6, 10**5)):
+        found = Counter(sharding.hypergeometric(rng, good, bad, draws) for _ in range(20_000))
+        for k in range(max(0, draws - bad), min(good, draws) + 1):
+            p = math.comb(good, k) * math.comb(bad, draws - k) / math.comb(good + bad, draws) if bad < 10**5 else (
+                draws / (good + bad) if k else 1 - draws / (good + bad)
+            )
+            assert abs(found[k] - 20_000 * p) < 5 * math.sqrt(20_000 * p * (1 - p)) + 5
+            assert math.exp(sharding.log_hypergeometric(k, good, bad, draws)) == pytest.approx(p, rel=1e-9, abs=1e-300)
+
+
 def test_matrix_sums_and_distribution():
     sizes = [7, 0, 30, 13]
     matrix = sharding.communication_matrix(sizes, 4, 1)

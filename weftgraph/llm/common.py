@@ -69,6 +69,18 @@ def identified(df: DataFrame) -> tuple[DataFrame, list[str]]:
         return marked(staged(df, "identified")), names
 
 
+def shared_text(spark: SparkSession, name: str, lines: list[str]) -> str:
+    """Lines that the driver made, as a file in the shared folder."""
+    path = f"{new_folder(spark, name)}/lines"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray("\n".join(lines).encode()))
+    finally:
+        out.close()
+    return path
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
