@@ -18,9 +18,8 @@ word_library = Tokenizer.from_file(tokenizer_path(WORD_BPE_JSON))
 
 
 def encoded(text):
-    words = word_bpe.words(text)
-    both = [word_bpe.unpacked(x) for x in word_bpe.packed(words)]
-    return " ".join(i for i, _ in both), " ".join(p for _, p in both)
+    ids = word_bpe.unpacked(b"".join(word_bpe.packed(word_bpe.words(text))))
+    return " ".join(map(str, ids)), word_bpe.decoded(ids)
 
 
 def by_library(text):
@@ -64,7 +63,9 @@ def check_words(rows):
 
 
 def test_encode_decode(awkward):
-    rows = bpe_words.encode_decode(awkward, chars=50_000, with_ids=True).collect()
+    strays = awkward.sparkSession.sparkContext.accumulator(0)
+    rows = bpe_words.encode_decode(awkward, chars=50_000, with_ids=True, strays=strays).collect()
+    assert strays.value == 0  # every word came from the distinct-word table
     check_words(rows)
     for r in rows:
         assert hashlib.sha256(r.decoded.encode()).hexdigest() == r.decoded_sha256 and len(r.ids) == r.n_tokens
@@ -74,7 +75,35 @@ def test_encode_decode_without_entries(awkward, monkeypatch):
     """Words whose entries are not found are encoded where they stand."""
     real = bpe_words.block_entries
     monkeypatch.setattr(bpe_words, "block_entries", lambda *a: real(*a) + "-gone")
-    check_words(bpe_words.encode_decode(awkward).collect())
+    strays = awkward.sparkSession.sparkContext.accumulator(0)
+    check_words(bpe_words.encode_decode(awkward, strays=strays).collect())
+    assert strays.value > 0
+
+
+def test_given_tables_have_no_stray_words(spark):
+    strays = spark.sparkContext.accumulator(0)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert bpe_words.encode_decode(docs, strays=strays).count() == docs.count() and strays.value == 0
+
+
+def test_words_beyond_what_a_task_holds(spark):
+    """A million distinct words in two buckets, of which a task holds a few thousand."""
+    docs = spark.range(200).selectExpr("concat_ws(' ', transform(sequence(id * 5000, id * 5000 + 4999), x -> translate(hex(x), '0123456789', 'ghijklmnop'))) as text")
+    path = tokenizer_path(WORD_BPE_JSON)
+    words = bpe_words.block_words(docs.repartition(4), path, 2, 1_000_000)
+    found = bpe_words.encoded_words(words, path, most=5_000)
+    bpe, seen = bpe_words.word_bpe(path), 0
+    for r in found.collect():
+        listed, ids = bpe_words.unsqueezed(r.words), bpe_words.unsqueezed_ids(r.ids)
+        seen += len(listed)
+        assert len(listed) == len(ids) and [ids[0], ids[-1]] == bpe.packed([listed[0], listed[-1]])
+    assert seen >= 1_000_000
+
+
+def test_decoding_starts_from_ids():
+    bpe = bpe_words.word_bpe(tokenizer_path(WORD_BPE_JSON))
+    for ids in ((), (5,), (49406, 320, 1125, 49407)):
+        assert bpe.decoded(ids) == bpe.library.decode(list(ids), skip_special_tokens=False)
 
 
 def test_encode_decode_of_nothing(empty):

@@ -8,12 +8,18 @@
 3. These entries are written, by block, to the shared folder: a block gets the entries
    of its own words only, so no task holds the vocabulary of the corpus.
 4. Each task reads its texts again, opens the entries of their block, and puts ids
-   in place of words by position.  Decoding looks pieces up by id (a table of fixed
-   size) and joins them as the library's decode does.
+   in place of words by position.
+5. Decoding starts from a document's ids: it looks up the piece of each id in a table of
+   the vocabulary's size and joins them as the library's decode does.
 
 A block is a run of texts of one partition.  Should the partitions differ between
 the two readings (a source that deals rows anew), a word without an entry is encoded
-where it stands, by the same function, so the result holds whatever the layout.
+where it stands, by the same function, so the result holds whatever the layout; an
+accumulator given as ``strays`` counts such words, and there are none where files are read.
+
+Words are dealt to ``SPREAD`` buckets for each shuffle partition.  A task holds the ids of
+one bucket's words, and starts anew after ``MOST_WORDS``: only beyond that many distinct
+words in one bucket is a word encoded again.
 
 Null and empty texts have no ids and decode to the empty string.  Strings of special
 tokens become their ids.  Repeated rows are encoded one by one; extra columns are not
@@ -32,6 +38,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +47,8 @@ from weftgraph.llm.token_files import filesystem
 
 #: Characters of text in a block; bounds the entries that a task holds at once.
 BLOCK_CHARS = 24_000_000
+#: Buckets of words for each shuffle partition, and words of a bucket held at once.
+SPREAD, MOST_WORDS = 4, 500_000
 #: In front of a special token's string; words hold no white space.
 SPECIAL = " "
 
@@ -97,10 +106,13 @@ class WordBpe:
         ids = [[self.special[w[1:]]] if w[0] == SPECIAL else e.ids for w, e in zip(words, plain, strict=True)]
         return [struct.pack(f"<{len(x)}H", *x) for x in ids]
 
-    def unpacked(self, ids: bytes) -> tuple[str, str]:
-        """The ids in decimal and their pieces, each joined by one space."""
-        own = struct.unpack(f"<{len(ids) // 2}H", ids)
-        return " ".join([self.decimal[i] for i in own]), " ".join([self.pieces[i] for i in own])
+    @staticmethod
+    def unpacked(ids: bytes) -> tuple[int, ...]:
+        return struct.unpack(f"<{len(ids) // 2}H", ids)
+
+    def decoded(self, ids: tuple[int, ...]) -> str:
+        """The pieces of the ids, joined as the library's decode does."""
+        return " ".join(map(self.pieces.__getitem__, ids))
 
 
 def word_bpe(path: str) -> WordBpe:
@@ -190,8 +202,8 @@ def block_words(docs: DataFrame, path: str, buckets: int, chars: int = BLOCK_CHA
     return docs.mapInArrow(lean(split), "part int, block int, bucket int, words binary")
 
 
-def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(part, block, words, ids): each distinct word encoded once."""
+def encoded_words(words: DataFrame, path: str, most: int = MOST_WORDS) -> DataFrame:
+    """(part, block, words, ids): each distinct word of a bucket encoded once."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
@@ -202,6 +214,8 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
                 if own != bucket:  # rows come sorted by bucket
                     bucket, ids_of = own, {}
                 listed = unsqueezed(data.as_py())
+                if len(ids_of) > most:
+                    ids_of = {}
                 new = [w for w in listed if w not in ids_of]
                 for i in range(0, len(new), 10_000):
                     ids_of.update(zip(new[i : i + 10_000], bpe.packed(new[i : i + 10_000]), strict=True))
@@ -247,12 +261,13 @@ def encode_decode(
     path: str | None = None,
     chars: int = BLOCK_CHARS,
     with_ids: bool = False,
+    strays: Accumulator | None = None,
 ) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256[, ids array<long>, decoded]."""
     path = path or tokenizer_path(WORD_BPE_JSON)
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = SPREAD * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     folder = block_entries(spark, block_words(own.select("text"), path, buckets, chars), path)
     id_type = docs.schema[doc_id].dataType.simpleString()
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
@@ -261,34 +276,30 @@ def encode_decode(
         from pyspark import TaskContext
 
         bpe, part, last = word_bpe(path), TaskContext.get().partitionId(), -1
-        ids_of: dict[str, str] = {}
-        pieces_of: dict[str, str] = {}
-
-        def know(known: Iterable[tuple[str, bytes]]) -> None:
-            for w, x in known:
-                ids_of[w], pieces_of[w] = bpe.unpacked(x)
+        ids_of: dict[str, bytes] = {}
 
         for block, batch in blocks(batches, 1, chars):
             if block != last:
-                ids_of.clear()
-                pieces_of.clear()
-                know(entries(folder, part, block))
+                ids_of = dict(entries(folder, part, block))
                 last = block
             out: tuple[list, ...] = ([], [], [], [], [])
             for value in batch.column(1):
                 words = bpe.words(t) if (t := value.as_py()) else []
                 try:
-                    ids = " ".join([ids_of[w] for w in words])
+                    packed = b"".join([ids_of[w] for w in words])
                 except KeyError:
                     missing = [w for w in dict.fromkeys(words) if w not in ids_of]
-                    know(zip(missing, bpe.packed(missing), strict=True))
-                    ids = " ".join([ids_of[w] for w in words])
-                decoded = " ".join([pieces_of[w] for w in words])
-                out[0].append(ids.count(" ") + 1 if ids else 0)
-                out[1].append(hashlib.sha256(ids.encode()).hexdigest())
+                    ids_of.update(zip(missing, bpe.packed(missing), strict=True))
+                    if strays is not None:
+                        strays.add(len(missing))
+                    packed = b"".join([ids_of[w] for w in words])
+                ids = bpe.unpacked(packed)
+                decoded = bpe.decoded(ids)
+                out[0].append(len(ids))
+                out[1].append(hashlib.sha256(" ".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest())
                 out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    out[3].append(list(map(int, ids.split())))
+                    out[3].append(list(ids))
                     out[4].append(decoded)
             columns = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
             if with_ids:
