@@ -103,6 +103,37 @@ def test_near_in_blocks(awkward):
         minmax_dedup.STAR_ROUNDS, minmax_dedup.block_links.__defaults__ = was
 
 
+def test_one_large_bucket(spark):
+    """Thousands of unlike classes in one bucket, most of them in one group already: all links
+    between groups are found, and the group's own blocks do not meet."""
+    rng = random.Random(6)
+    sets = []
+    for i in range(1500):
+        if i % 3 and i > 2:  # links at 0.8 exactly and just below, down and up in size
+            base = rng.choice(sets)
+            k = len(base) // 4
+            extra = [rng.getrandbits(62) for _ in range(k + (i % 2))]
+            sets.append(sorted(set(base) | set(extra)) if i % 5 else sorted(rng.sample(base, max(1, len(base) - len(base) // 5))))
+        else:
+            sets.append(sorted(rng.getrandbits(62) for _ in range(rng.choice([3, 5, 20, 50, 100]))))
+    sets = [s[:400] for s in sets]
+    group = [0 if i % 4 else i for i in range(len(sets))]
+    rows = [(7, i, len(s), group[i], 0, s) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "key long, cls long, n long, component long, group long, shingles array<long>").repartition(3)
+    found = minmax_dedup.block_links(df.drop("shingles"), df.select("cls", "n", "shingles"), 80, 64).collect()
+    have = [set(s) for s in sets]
+    want = [
+        (a, b)
+        for b in range(len(sets))
+        for a in range(b)
+        if group[a] != group[b] and 100 * len(have[a] & have[b]) >= 80 * len(have[a] | have[b])
+    ]
+    assert len(want) > 100 and {tuple(sorted((r.a, r.b))) for r in found} <= set(want)
+    joined = lambda pairs: least_labels([a for a, _ in pairs], [b for _, b in pairs])
+    same = [(i, 0) for i in range(len(sets)) if group[i] == 0 and i]
+    assert joined([*((r.a, r.b) for r in found), *same]) == joined([*want, *same])
+
+
 def test_near_of_nothing(empty):
     assert minmax_dedup.near_duplicates(empty).collect() == []
 

@@ -42,7 +42,7 @@ PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS, DRAWN = 1024, 8, 4096, 4
 #: Lengths with fewer vectors are one cell.
 FEW = 64
 #: Vectors of a group, and least groups of a length, so that small tables have parallel pairs too.
-BLOCK, LEAST_GROUPS = 32_768, 4
+BLOCK, LEAST_GROUPS = 32_768, 3
 #: Rows and columns of one matrix of cosines.
 TILE = 2048
 #: Single precision is off by less than this for vectors of some thousand components.

@@ -9,11 +9,14 @@ together; a pair at resemblance 0.8 shares none of the 32 bands with probability
 
 Documents with equal sets are one class.  A shingle that no other candidate has can be
 in no intersection, so a class with fewer than 0.8 n shared shingles of n has no
-link and leaves.  Of the others, in each bucket of a band every class is first checked against one class of the bucket, a few times over, which joins up most groups with
-a pair per class.  What then still lies in different groups of a bucket is compared
-with each other where the bucket lies, in blocks of bounded size that emit a spanning
-forest of their links and never pairs; so no candidate is left out, however large its
-bucket.  Every check intersects two full sets.
+link and leaves.  Of the others, in each bucket of a band every class is first checked
+against one class of the bucket, over and over while that closes buckets, which joins up
+most groups with a pair per class.  What then still lies in different groups of a bucket
+is compared with each other where the bucket lies, in blocks of bounded size that emit a
+spanning forest of their links and never pairs; so no candidate is left out, however
+large its bucket.  Blocks hold classes of like set sizes, and those of the bucket's main
+group apart: blocks whose sizes differ too much for a link, and blocks of that group among
+themselves, do not meet.  Every check intersects two full sets.
 
 Null, empty and blank texts have no set, link with nothing and stay, and so do rows
 with a null id.  Repeated rows are copies: one stays.  Extra columns are not read; an
@@ -22,6 +25,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -35,8 +39,9 @@ WORDS = 4
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 80
 PERMUTATIONS, ROWS = 64, 4
-#: Rounds of one class against its bucket, before the rest is compared in blocks.
-STAR_ROUNDS = 2
+#: Least rounds of one class against its bucket; they go on while a round leaves at most this
+#: share of the memberships in buckets with several groups.
+STAR_ROUNDS, PROGRESS = 2, 0.6
 #: Classes of a bucket that one block holds, of some thousand shingles each at most on
 #: average; blocks meet in pairs.
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
@@ -186,20 +191,46 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
 def block_links(open_: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(a, b): links between classes of different components in one bucket, of
-    (key, cls, component, members, shingles): each pair is compared, a spanning forest returned."""
+    (key, cls, n, component, group): each pair that can link is compared, a spanning forest returned."""
     import numpy as np
 
-    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    # A cell of a bucket holds sets of like sizes, of the bucket's main group or not.  Sets
+    # that link differ in size by 100 / percent at most, so by one cell's width.
+    width = math.log(100 / percent * 1.01)
+    celled = open_.select(
+        "key",
+        "cls",
+        "component",
+        "n",
+        (2 * F.floor(F.log("n") / width) + (F.col("component") == F.col("group")).cast("int")).cast("long").alias("cell"),
+    )
+    cells = staged(
+        celled.groupBy("key", "cell").agg(
+            F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+        ),
+        "bucket-cells",
+    )
+    near, main = F.abs(F.expr("a.cell div 2 - b.cell div 2")) <= 1, (F.col("a.cell") % 2 == 1) & (F.col("b.cell") % 2 == 1)
+    partners = (
+        cells.alias("a")
+        .join(cells.alias("b"), F.col("a.key") == F.col("b.key"))
+        .filter(near & ~main)
+        .groupBy(F.col("a.key").alias("key"), F.col("a.cell").alias("cell"), F.col("a.blocks").alias("blocks"))
+        .agg(F.collect_list(F.struct(F.col("b.cell").alias("cell"), F.col("b.blocks").alias("blocks"))).alias("partners"))  # at most six
+    )
     # Each pair of blocks meets on its own, so that no task gets a whole large bucket.
+    block_id = lambda cell, at: F.shiftleft(cell, 24) + at
+    own = block_id(F.col("cell"), F.pmod(F.xxhash64("cls"), F.col("blocks")))
     dealt = (
-        open_.withColumn("block", own)
-        .select("key", "cls", "component", "block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("other"))
+        celled.join(partners, ["key", "cell"])
+        .select("key", "cls", "component", own.alias("own"), F.explode("partners").alias("p"))
+        .select("key", "cls", "component", "own", "p.cell", F.explode(F.sequence(F.lit(0), F.col("p.blocks") - 1)).alias("at"))
+        .withColumn("other", block_id(F.col("cell"), F.col("at")))
         .select(
             "key",
-            F.least("block", "other").alias("part"),
-            F.greatest("block", "other").alias("with"),
-            (F.col("block") <= F.col("other")).cast("int").alias("core"),
+            F.least("own", "other").alias("part"),
+            F.greatest("own", "other").alias("with"),
+            (F.col("own") <= F.col("other")).cast("int").alias("core"),
             "cls",
             "component",
         )
@@ -333,7 +364,8 @@ def near_duplicates(
         "members",
     )
     links, labels = None, None
-    for star in range(STAR_ROUNDS + 1):
+    star, before, done = 0, None, False
+    while not done:
         if labels is None:
             open_ = members.withColumn("component", F.col("cls"))
         else:
@@ -347,7 +379,6 @@ def near_duplicates(
                 F.min("component").alias("low"),
                 F.max("component").alias("high"),
                 F.count(F.lit(1)).alias("members"),
-                F.sum("n").alias("shingles"),
                 F.min_by("cls", drawn).alias("centre"),
                 F.min_by("component", drawn).alias("group"),
             )
@@ -355,17 +386,20 @@ def near_duplicates(
             .drop("low", "high"),
             f"open-bands-{star}",
         )
-        if spread.isEmpty():
+        left = spread.agg(F.coalesce(F.sum("members"), F.lit(0)).alias("n")).first()["n"]
+        if not left:
             break
         open_ = open_.join(spread, "key")
-        if star < STAR_ROUNDS:
+        if star < STAR_ROUNDS or (before is not None and left <= PROGRESS * before):
             nearest = open_.filter("component <> group").groupBy("cls").agg(F.min("centre").alias("centre"))
             pairs = nearest.select(F.greatest("cls", "centre").alias("a"), F.least("cls", "centre").alias("b")).distinct()
             found = staged(confirmed(staged(pairs, "pairs"), sets, percent), "links")
         else:
             found = staged(block_links(open_, sets, percent), "links")
+            done = True
         links = found if links is None else links.unionByName(found)
         labels = staged(connected_components(links), "labels")
+        star, before = star + 1, left
     if labels is None:
         grouped = kinds.withColumn("component", F.col("cls"))
     else:
