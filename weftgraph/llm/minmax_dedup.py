@@ -191,19 +191,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
 def block_links(open_: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(a, b): links between classes of different components in one bucket, of
-    (key, cls, n, component, group): each pair that can link is compared, a spanning forest returned."""
+    (key, cls, n, component, group, members, shingles): each pair that can link is compared, a spanning forest returned."""
     import numpy as np
 
     # A cell of a bucket holds sets of like sizes, of the bucket's main group or not.  Sets
-    # that link differ in size by 100 / percent at most, so by one cell's width.
+    # that link differ in size by 100 / percent at most, so by one cell's width.  A bucket
+    # that fits one block is one cell.
     width = math.log(100 / percent * 1.01)
-    celled = open_.select(
-        "key",
-        "cls",
-        "component",
-        "n",
-        (2 * F.floor(F.log("n") / width) + (F.col("component") == F.col("group")).cast("int")).cast("long").alias("cell"),
-    )
+    own_cell = 2 * F.floor(F.log("n") / width) + (F.col("component") == F.col("group")).cast("int")
+    fits = (F.col("members") <= block) & (F.col("shingles") <= BLOCK_SHINGLES)
+    celled = open_.select("key", "cls", "component", "n", F.when(fits, 0).otherwise(own_cell).cast("long").alias("cell"))
     cells = staged(
         celled.groupBy("key", "cell").agg(
             F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
@@ -379,6 +376,7 @@ def near_duplicates(
                 F.min("component").alias("low"),
                 F.max("component").alias("high"),
                 F.count(F.lit(1)).alias("members"),
+                F.sum("n").alias("shingles"),
                 F.min_by("cls", drawn).alias("centre"),
                 F.min_by("component", drawn).alias("group"),
             )
