@@ -59,9 +59,16 @@ def first_sentence(x: Column, most: int = 200) -> Column:
     return F.when(F.length(one) <= most, one).otherwise(F.concat(cut, F.lit("…")))
 
 
+#: Folders of tests; ends of folder names; names of test files.
+_TEST_FOLDER = r"(?i:(^|/)(tests?|__tests__|specs?|e2e|testing)/)"
+_TESTS_FOLDER = r"(^|/)([^/]*[._a-z-])?Tests?/"
+_TEST_FILE = r"(^|/)(test_[^/]*\.py|[^/]*_test\.py|conftest\.py|[^/]*\.(test|spec)\.[cm]?[jt]sx?|[^/]*Tests?\.cs)$"
+
+
 def test_path(x: Column) -> Column:
     """Is this the path of a test file?"""
-    return F.lower(x).rlike(r"(^|/)(tests?|specs?|__tests__)/|(^|/)test_[^/]*$|[._-](test|spec)s?\.[^/]*$|(^|/)conftest\.py$")
+    at = F.replace(x, F.lit("\\"), F.lit("/"))
+    return at.rlike(_TEST_FOLDER) | at.rlike(_TESTS_FOLDER) | at.rlike(_TEST_FILE)
 
 
 def route_segments(url: Column) -> Column:

@@ -10,20 +10,40 @@ from weftgraph.operators.links import guarded_join
 from weftgraph.schema import DB_FAN_OUT, FILE_FAN_OUT, QUEUE_FAN_OUT
 
 
+#: How a route segment that takes any rest of an address is written.
+REST = r"^\*|^\{\*|^<path:|^\[\.\.\.|:path\}$|\*\}$"
+
+
 def match_routes(requests: DataFrame, routes: DataFrame) -> DataFrame:
-    """(request, route): requests (request, url) to routes (route, template) of as many
-    segments, a segment that starts with <, { or : matching any; the route with most
-    literal segments wins, and a tie links nothing."""
-    req = requests.select("request", route_segments(F.col("url")).alias("s"))
-    tpl = routes.select("route", route_segments(F.col("template")).alias("t"))
-    param = lambda x: x.rlike("^[<{:]")
-    fits = F.forall(F.zip_with("s", "t", lambda a, b: param(b) | (a == b)), lambda x: x)
+    """(request, route): requests (request, url) to routes (route, template), without regard
+    to case.  A segment that starts with <, { or : matches any one segment, a last one that
+    is a wildcard one or more; the route with most literal segments wins, of equals the one
+    without a wildcard, and a tie links nothing.
+
+    Requests and routes meet on the first segment and, but for wildcards, their number."""
+    req = requests.select("request", F.transform(route_segments(F.col("url")), F.lower).alias("s"))
+    tpl = routes.select("route", F.transform(route_segments(F.col("template")), F.lower).alias("t"))
+    param = lambda x: x.rlike(r"^[<{:*\[]")
+    last = F.try_element_at("t", F.lit(-1))
+    wild = F.coalesce(last.rlike(REST), F.lit(False))
+    shaped = tpl.select("route", "t", wild.alias("wild"), F.when(wild, F.size("t") - 1).otherwise(F.size("t")).alias("m"))
+    head = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)), F.lit(""))
+    keyed = shaped.withColumns(
+        {
+            "key": F.when((F.size("t") > 0) & param(head("t")), F.lit(None).cast("string")).otherwise(head("t")),
+            "n": F.when(F.col("wild"), -1).otherwise(F.size("t")),
+        }
+    )
+    # A request asks under its own first segment and under none, with its number and with -1.
+    asked = req.withColumn("n_s", F.size("s")).select(
+        "request", "s", "n_s", F.explode(F.array(head("s"), F.lit(None).cast("string"))).alias("k")
+    ).withColumn("at", F.explode(F.array("n_s", F.lit(-1))))
+    fits = F.forall(F.zip_with(F.slice("s", F.lit(1), F.col("m")), F.slice("t", F.lit(1), F.col("m")), lambda a, b: param(b) | (a == b)), lambda x: x)
     literal = F.size(F.filter("t", lambda x: ~param(x)))
     hit = (
-        req.withColumn("n", F.size("s"))
-        .join(tpl.withColumn("n", F.size("t")), "n")
-        .filter(fits)
-        .select("request", "route", literal.alias("literal"))
+        asked.join(keyed, F.col("k").eqNullSafe(F.col("key")) & (F.col("at") == F.col("n")))
+        .filter((~F.col("wild") | (F.col("n_s") > F.col("m"))) & fits)
+        .select("request", "route", (2 * literal + (~F.col("wild")).cast("int")).alias("literal"))
     )
     best = Window.partitionBy("request")
     return (
@@ -41,14 +61,19 @@ def match_topics(published: DataFrame, subscribed: DataFrame, most: int = QUEUE_
     links than ``most`` are dropped.
 
     Plain names meet in an equi-join; only patterns with a wildcard are tried on topics,
-    and they on distinct topics alone."""
+    and they on distinct topics of the same beginning alone."""
     wild = F.col("pattern").rlike(r"[*#+]")
     escaped = F.regexp_replace("pattern", r"([.^$|()\[\]{}\\?])", r"\\$1")
     one = F.regexp_replace(escaped, r"\+", "[^/]+")  # first, as the others bring in signs of their own
     regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(one, r"\*", "[^.]+"), "#", ".*"), F.lit("$"))
-    patterns = subscribed.filter(wild).select("pattern", regex.alias("rx")).distinct()
+    # A pattern's first segment is fixed or has a wildcard; topics ask under theirs and under none.
+    first = lambda c: F.split(c, "[./]")[0]
+    start = F.when(first(F.col("pattern")).rlike(r"[*#+]"), F.lit(None).cast("string")).otherwise(first(F.col("pattern")))
+    patterns = subscribed.filter(wild).select("pattern", regex.alias("rx"), start.alias("start")).distinct()
     topics = published.select("topic").distinct()
-    pairs = topics.join(patterns, F.expr("topic rlike rx")).select("topic", "pattern")
+    asked = topics.select("topic", F.explode(F.array(first(F.col("topic")), F.lit(None).cast("string"))).alias("at"))
+    met = F.col("at").eqNullSafe(F.col("start")) & F.expr("topic rlike rx")
+    pairs = asked.join(patterns, met).select("topic", "pattern")
     plain = topics.join(subscribed.filter(~wild), F.col("topic") == F.col("pattern")).select("topic", "dst")
     heard = plain.unionByName(pairs.join(subscribed, "pattern").select("topic", "dst")).distinct()
     links = guarded_join(published.select("src", "topic").distinct(), heard, "topic", most)
@@ -56,20 +81,29 @@ def match_topics(published: DataFrame, subscribed: DataFrame, most: int = QUEUE_
 
 
 def match_tables(writers: DataFrame, readers: DataFrame, most: int = DB_FAN_OUT) -> DataFrame:
-    """(src, dst, address, precision): writers (src, table) to readers (dst, table). Equal
-    normalised names are heuristic; names equal only after folding plurals are guesses."""
-    w = writers.select("src", normalised(F.col("table")).alias("w")).distinct()
-    r = readers.select("dst", normalised(F.col("table")).alias("r")).distinct()
-    # Names are matched with their counts first; only pairs within the bound are expanded.
-    nw = w.groupBy("w").agg(F.count(F.lit(1)).alias("_a")).withColumn("_k", plural_stem(F.col("w")))
-    nr = r.groupBy("r").agg(F.count(F.lit(1)).alias("_b")).withColumn("_k", plural_stem(F.col("r")))
-    names = nw.join(nr, "_k").filter(F.col("_a") * F.col("_b") <= most).select("w", "r")
-    same = F.col("w") == F.col("r")
-    return names.join(w, "w").join(r, "r").select(
-        "src",
-        "dst",
-        F.when(same, F.col("w")).otherwise(F.concat_ws(" ~ ", "w", "r")).alias("address"),
-        F.when(same, "heuristic").otherwise("guess").alias("precision"),
+    """(src, dst, address, precision): writers (src, table) to readers (dst, table) of one
+    table, each pair once a table and none with itself.  Equal normalised names are
+    heuristic; names equal only after folding plurals are guesses.  Folded names of more
+    than ``most`` pairs are too common to link."""
+    folded = lambda df, end: df.select(end, normalised(F.col("table")).alias(end[0])).distinct().withColumn("stem", plural_stem(F.col(end[0])))
+    w, r = folded(writers, "src"), folded(readers, "dst")
+    # Names are matched with their counts first; only those within the bound are expanded.
+    a = w.groupBy("stem").agg(F.count_distinct("src").alias("_a"))
+    b = r.groupBy("stem").agg(F.count_distinct("dst").alias("_b"))
+    few = a.join(b, "stem").filter(F.col("_a") * F.col("_b") <= most).select("stem")
+    same = F.col("s") == F.col("d")
+    return (
+        w.join(few, "stem", "left_semi")
+        .join(r, "stem")
+        .filter(~F.col("src").eqNullSafe(F.col("dst")))
+        .groupBy("src", "dst", "stem")
+        .agg(F.min(F.when(same, F.col("s"))).alias("equal"), F.min(F.concat_ws(" ~ ", "s", "d")).alias("alike"))
+        .select(
+            "src",
+            "dst",
+            F.coalesce("equal", "alike").alias("address"),
+            F.when(F.col("equal").isNotNull(), "heuristic").otherwise("guess").alias("precision"),
+        )
     )
 
 

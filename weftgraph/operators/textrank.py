@@ -40,15 +40,28 @@ def rarest_words(texts: DataFrame, key: str, text: str, most: int = 3, at_least:
 
 def shared_words(a: DataFrame, b: DataFrame, least: int) -> DataFrame:
     """(i, j, inter, uni) of texts (i, text) and (j, text) that share at least ``least``
-    distinct words: an inverted-index join on words, no cross join."""
-    words = lambda df, key, n: df.select(key, keyword_words(F.col("text")).alias("w")).select(key, F.size("w").alias(n), F.explode("w").alias("w"))
+    distinct words.
+
+    In an order of all words by rarity, two texts that share so many share one that is not
+    among the ``least`` - 1 commonest of either, so they meet on the others only: a word
+    that nearly all texts have brings two together only where they have little else."""
+    words = lambda df, key: df.select(key, keyword_words(F.col("text")).alias("w"))
+    left, right = words(a, "i"), words(b, "j")
+    seen = left.select(F.explode("w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+
+    def rare(df: DataFrame, key: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("df"), "w"))
+        own = df.select(key, F.explode("w").alias("w")).join(seen, "w")
+        return own.withColumn("_k", rank).filter(F.col("_k") >= least).select(key, "w")
+
+    pairs = rare(left, "i").join(rare(right, "j"), "w").select("i", "j").distinct()
+    both = F.size(F.array_intersect("wa", "wb")).cast("long")
     return (
-        words(a, "i", "na")
-        .join(words(b, "j", "nb"), "w")
-        .groupBy("i", "j", "na", "nb")
-        .agg(F.count(F.lit(1)).alias("inter"))
+        pairs.join(left.withColumnRenamed("w", "wa"), "i")
+        .join(right.withColumnRenamed("w", "wb"), "j")
+        .withColumn("inter", both)
         .filter(F.col("inter") >= least)
-        .select("i", "j", "inter", (F.col("na") + F.col("nb") - F.col("inter")).alias("uni"))
+        .select("i", "j", "inter", (F.size("wa") + F.size("wb") - F.col("inter")).cast("long").alias("uni"))
     )
 
 
@@ -60,20 +73,46 @@ def weighted_jaccard(a, b, light: list[str], weight: float = 0.5):
     return F.when(either > 0, both / either).otherwise(0.0)
 
 
+#: Endings that are cut, longest first, and what takes their place.
+ENDINGS = {
+    "ations": "", "ions": "", "ion": "", "ings": "", "ing": "", "ers": "", "er": "", "ors": "", "or": "",
+    "ies": "y", "ied": "y", "sses": "ss", "es": "", "ed": "", "s": "",
+}
+#: Endings that double a last letter (stepping), and letters that stay double.
+DOUBLING, STAY_DOUBLE = ("ing", "ed", "er", "ers"), "ls"
+
+
 def stem(word: str) -> str:
-    """A light English stem for query words and code words alike."""
-    for end, put in (("ies", "y"), ("ing", ""), ("ed", ""), ("es", ""), ("s", "")):
-        if word.endswith(end) and len(word) - len(end) >= 3:
-            return word[: -len(end)] + put
-    return word
+    """A light English stem: saves, saved and saving meet, and so do validate and validator."""
+    w = word.lower()
+    end = "" if w.endswith("ss") else next((e for e in ENDINGS if w.endswith(e) and len(w) - len(e) >= 3), "")
+    if end:
+        w = w[: -len(end)] + ENDINGS[end]
+    if end in DOUBLING and len(w) > 3 and w[-1] == w[-2] and w[-1] not in STAY_DOUBLE:
+        w = w[:-1]
+    return w[:-1] if w.endswith("e") and len(w) > 3 else w
+
+
+def stemmed(x):
+    """``stem`` of a column."""
+    w = F.lower(x)
+    longest = "|".join(f"(?<=^.{{3,99}}){e}" for e in ENDINGS)
+    end = F.when(w.endswith("ss"), F.lit("")).otherwise(F.regexp_extract(w, f"({longest})$", 1))
+    cut = F.left(w, F.length(w) - F.length(end))
+    for e, put in ENDINGS.items():
+        if put:
+            cut = F.when(end == e, F.concat(cut, F.lit(put))).otherwise(cut)
+    double = end.isin(*DOUBLING) & (F.length(cut) > 3) & cut.rlike(rf"([^{STAY_DOUBLE}])\1$")
+    once = F.when(double, F.left(cut, F.length(cut) - 1)).otherwise(cut)
+    return F.when(once.endswith("e") & (F.length(once) > 3), F.left(once, F.length(once) - 1)).otherwise(once)
 
 
 def _answers(t: str, synonyms: list[str]):
     """How well a word of a name answers a query word."""
 
     def value(w):
-        same = w.isin(t, t + "s", t + "es", t + "ed", t + "ing")
-        also = w.isin(*synonyms) if synonyms else F.lit(False)
+        same = (w == t) | (stemmed(w) == t)
+        also = stemmed(w).isin(*synonyms) if synonyms else F.lit(False)
         return (
             F.when(same, 1.0)
             .when(F.startswith(w, F.lit(t)) & (F.length(w) <= len(t) + 4), 0.8)

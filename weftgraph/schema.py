@@ -64,6 +64,8 @@ ASSESS_DEPTH = 4
 FLOW_DEPTH = 8
 FLOW_STEPS_MOST = 300
 BULK_FILES = 50
+HISTORY_DAYS = 730
+HISTORY_COMMITS = 1000
 MIN_TOGETHER = 3
 MIN_CONFIDENCE = 0.5
 FOLDER_SHARE = 0.75

@@ -8,14 +8,24 @@ HOLE = ""
 _SEPARATORS = (":", "/", "|", ".", "-", "_")
 
 
+#: What a fixed part looks like, and the longest key.
+_PART = re.compile(r"[A-Za-z0-9_\-]+")
+_LONGEST = 200
+
+
 def shape_of(pieces: list[str | None]) -> tuple[str, tuple[str, ...]] | None:
     """(separator, parts) of a template given as literal pieces and holes (None); a hole
-    is the empty part. None if no separator splits it into at least two parts."""
+    is the empty part.  The separator occurs twice or more and gives the most parts.  None
+    for what is no key: addresses, paths from a root, several lines, long texts, and texts
+    with an empty part or with anything but letters, digits, underscores and hyphens in one."""
     text = "".join("\x00" if p is None else p for p in pieces)
+    if len(text) > _LONGEST or "://" in text or "\n" in text or text.startswith(("/", "\\", "http")):
+        return None
     best = None
     for s in _SEPARATORS:
-        parts = text.split(s)
-        if len(parts) >= 2 and (best is None or len(parts) > len(best[1])):
+        parts = text.removesuffix(s).split(s)
+        whole = all(p and _PART.fullmatch(p.replace("\x00", "x")) for p in parts)
+        if text.count(s) >= 2 and whole and (best is None or len(parts) > len(best[1])):
             best = (s, tuple(HOLE if "\x00" in p else p for p in parts))
     return best
 

@@ -22,6 +22,8 @@ _COLUMNS = [c.split()[0] for c in RECORDS.split(", ")]
 #: Names that open routes, verbs of requests, and launchers of programs.
 ROUTE_NAMES = ("route", "get", "post", "put", "delete", "patch", "websocket")
 LAUNCHERS = ("run", "call", "check_call", "check_output", "Popen", "system", "execv", "spawnv")
+PUBLISHERS = ("publish", "basic_publish", "send_message", "produce", "enqueue")
+SUBSCRIBERS = ("subscribe", "consume", "basic_consume", "listen")
 MUTATORS = ("append", "add", "update", "extend", "insert", "remove", "pop", "clear", "setdefault", "discard")
 
 
@@ -241,6 +243,10 @@ class _Walk(ast.NodeVisitor):
             literal = first.value if isinstance(first, ast.Constant) and isinstance(first.value, str) else None
             if literal and f.attr in ROUTE_NAMES[1:6] and literal.startswith(("/", "http")):
                 self.add("endpoint", id=self.owner(), kind="http", role="call", target=literal, name=f.attr.upper(), line=node.lineno)
+            if literal and f.attr in (*PUBLISHERS, *SUBSCRIBERS):
+                role = "publish" if f.attr in PUBLISHERS else "subscribe"
+                heard = next((self.dotted(a) for a in [*node.args[1:], *(k.value for k in node.keywords)] if self.dotted(a)), None)
+                self.add("endpoint", id=self.owner(), kind="queue", role=role, target=literal, name=heard if role == "subscribe" else None, line=node.lineno)
             if inner in ("subprocess", "os") and f.attr in LAUNCHERS:
                 words = [c.value for c in ast.walk(node) if isinstance(c, ast.Constant) and isinstance(c.value, str)]
                 self.add("endpoint", id=self.owner(), kind="process", role="spawn", target=" ".join(words), line=node.lineno)

@@ -11,16 +11,28 @@ _NAME = r"[`\"\[]?([A-Za-z_][\w.$]*)[`\"\]]?"
 _WRITE = re.compile(r"\b(?:insert\s+(?:or\s+\w+\s+)?into|replace\s+into|update|delete\s+from|merge\s+into|truncate\s+(?:table\s+)?|(?:create|alter|drop)\s+table\s+(?:if\s+(?:not\s+)?exists\s+)?)\s*" + _NAME, re.I)
 _READ = re.compile(r"\b(?:from|join|using)\s+" + _NAME, re.I)
 _COMMON = re.compile(r"(?:\bwith\s+(?:recursive\s+)?|,\s*)([A-Za-z_]\w*)\s*(?:\([^)]*\))?\s+as\s*\(", re.I)
+#: Calls whose FROM names no table.
+_NO_TABLE = re.compile(r"\b(?:extract|substring|trim|position|overlay)\s*\([^()]*\)", re.I)
 
 
 def sql_tables(text: str) -> list[tuple[str, str]]:
-    """Distinct (role, table): write before read, a written table is not read as well.
-    Only strings that start with a SQL verb all in capitals or all in small letters."""
-    if not _START.match(text) or len(text) > 20_000:
+    """Distinct (role, table), writes first.  A clause that writes a table does not read it;
+    another clause of the same statement may.  Only strings that start with a SQL verb all
+    in capitals or all in small letters, and in them only keywords of that case."""
+    start = _START.match(text)
+    if not start or len(text) > 20_000:
         return []
-    local = {m.lower() for m in _COMMON.findall(text)}
-    name = lambda m: m.split(".")[-1]
-    ok = lambda m: m.lower() not in _KEYWORDS and m.lower() not in local
-    written = list(dict.fromkeys(name(m) for m in _WRITE.findall(text) if ok(m)))
-    read = list(dict.fromkeys(name(m) for m in _READ.findall(text) if ok(m)))
-    return [("write", t) for t in written] + [("read", t) for t in read if t not in written]
+    capitals = start.group(1).isupper()
+    body = _NO_TABLE.sub(lambda m: " " * len(m.group()), text)
+    local = {m.lower() for m in _COMMON.findall(body)}
+
+    def named(found: re.Match) -> str | None:
+        name = found.group(1).split(".")[-1]
+        in_case = found.group().split()[0].isupper() == capitals
+        return name if in_case and name.lower() not in _KEYWORDS | local else None
+
+    clauses = list(_WRITE.finditer(body))
+    for c in clauses:
+        body = body[: c.start()] + " " * len(c.group()) + body[c.end() :]
+    roles = [("write", named(c)) for c in clauses] + [("read", named(c)) for c in _READ.finditer(body)]
+    return list(dict.fromkeys(r for r in roles if r[1]))
