@@ -162,7 +162,12 @@ def test_sql_tables():
     f = sql_strings.sql_tables
     assert f("INSERT INTO a SELECT * FROM b JOIN c.d ON x") == [("write", "a"), ("read", "b"), ("read", "d")]
     assert f("WITH t AS (SELECT 1 FROM u) SELECT * FROM t") == [("read", "u")]
-    assert f("update x set y = 1 where z in (select q from x)") == [("write", "x")]
+    # The clause that writes does not read, another one of the same table does.
+    assert f("update x set y = 1 where z in (select q from x)") == [("write", "x"), ("read", "x")]
+    assert f("insert into t select a from t") == [("write", "t"), ("read", "t")]
+    assert f("delete from t where 1 = 1") == [("write", "t")]
+    assert f("select extract(year from ts), trim(both ' ' from name) from orders") == [("read", "orders")]
+    assert f("SELECT a FROM t join u on x") == [("read", "t")]
     assert f("Select from the menu") == [] and f("drop by from here maybe") == [("read", "here")] and f("hello from x") == []
 
 
@@ -210,6 +215,9 @@ def test_key_shapes():
     assert keyshape.shape_of(["user:", None, ":profile"]) == (":", ("user", "", "profile"))
     assert keyshape.template_shape("a/{x}/b/%s") == ("/", ("a", "", "b", ""))
     assert keyshape.literal_shape("plain") is None
+    for text in ("user:1", "http://x/{a}/b", "/a/{x}/b", "some prose: and more: of it", "a::b:c", "a/b\n/c", "x:" * 200):
+        assert keyshape.template_shape(text) is None, text
+    assert keyshape.template_shape("user:{id}:") == (":", ("user", ""))
     assert keyshape.alignment(("user", "", "profile"), ("user", "7", "profile")) == (0, 2)
     assert keyshape.alignment(("user", "", "x"), ("user", "", "y")) is None
     assert keyshape.fit_precision(3) == "heuristic" and keyshape.fit_precision(2) == "guess"
@@ -236,6 +244,9 @@ def test_scalar_functions(spark):
     assert value(slug, "Fix: a Bug!") == "fix-a-bug"
     assert value(first_sentence, "One. Two.") == "One." and value(first_sentence, "w " * 300).endswith("…")
     assert [value(test_path, x) for x in ("tests/a.py", "src/a.spec.ts", "src/latest.py")] == [True, True, False]
+    yes = ("e2e/login.ts", "a/testing/b.py", "Basket.UnitTests/X.cs", "src/FooTests.cs", "a\\\\test\\\\b.cs", "x/test_a.py", "conftest.py", "a/b_test.py")
+    no = ("test_data.json", "src/contest.py", "latests/a.py", "a/attest/b.py", "src/Test.py")
+    assert all(value(test_path, x) for x in yes) and not any(value(test_path, x) for x in no)
 
 
 def test_store(spark, tmp_path):
@@ -281,8 +292,8 @@ def test_incremental(spark):
     m = incremental.mentions(f)
     changed = spark.createDataFrame([("c", "edited")], "path string, state string")
     names = m.filter("path = 'a'").select("token")
-    imports = spark.createDataFrame([("d", "c")], "path string, target string")
-    assert rows(incremental.to_resolve(changed, names, m, imports)) == [("a",), ("b",), ("c",), ("d",)]
+    imports = spark.createDataFrame([("d", "c"), ("e", "d"), ("d", "e"), ("x", "y")], "path string, target string")
+    assert rows(incremental.to_resolve(changed, names, m, imports)) == [("a",), ("b",), ("c",), ("d",), ("e",)]
     old = spark.createDataFrame([("p", 1), ("q", 2)], "k string, v int")
     assert rows(incremental.replaced(old, spark.createDataFrame([("q", 3)], "k string, v int"), "k")) == [("p", 1), ("q", 3)]
 
@@ -359,3 +370,165 @@ def test_command_line(spark, tmp_path):
     assert "sequenceDiagram" in run("diagram", "flow:r:python:tests.test_main.test_show")[0]
     assert run("compare", "one") == [] and run("rules") == [""]
     assert json.loads(run("export")[0])["nodes"]
+
+
+def test_routes(spark):
+    from weftgraph.operators.channels import match_routes
+
+    routes = spark.createDataFrame(
+        [(t, t) for t in ("/items/{id}", "/items/special", "/Files/{*path}", "/files/<path:p>/raw", "/a/{x}", "/a/:y", "/{any}/end", "/")], "route string, template string"
+    )
+    urls = {
+        "/items/3": "/items/{id}", "/ITEMS/Special?q=1": "/items/special", "https://h/files/x/y/z": "/Files/{*path}", "/files": None,
+        "/a/1": None, "/b/end": "/{any}/end", "/nothing/here/at/all": None, "/": "/",
+    }
+    asked = spark.createDataFrame([(u, u) for u in urls], "request string, url string")
+    assert {r.request: r.route for r in match_routes(asked, routes).collect()} == {u: r for u, r in urls.items() if r}
+
+
+def test_tables_and_topics(spark):
+    from weftgraph.operators.channels import match_tables, match_topics
+
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    w = df([("a", "Users"), ("b", "orders"), ("self", "log")], "src string, table string")
+    r = df([("c", "users"), ("c", "user"), ("d", "order"), ("self", "log")], "dst string, table string")
+    assert rows(match_tables(w, r), "src", "dst", "address", "precision") == [("a", "c", "users", "heuristic"), ("b", "d", "orders ~ order", "guess")]
+    many = df([(f"w{i}", "item" + "s" * (i % 2)) for i in range(6)], "src string, table string")
+    assert match_tables(many, df([("x", "item"), ("y", "items")], "dst string, table string"), most=11).count() == 0
+    assert match_tables(many, df([("x", "item"), ("y", "items")], "dst string, table string"), most=12).count() == 12
+    sent = df([("p", "shop.cart.add"), ("q", "other")], "src string, topic string")
+    heard = df([("one", "shop.*.add"), ("rest", "shop.#"), ("all", "#"), ("no", "shop.*"), ("lead", "*.cart.add")], "dst string, pattern string")
+    found = rows(match_topics(sent, heard), "src", "dst")
+    assert found == [("p", "all"), ("p", "lead"), ("p", "one"), ("p", "rest"), ("q", "all")]
+
+
+def test_stems(spark):
+    from weftgraph.operators.textrank import stem, stemmed
+
+    together = [("saves", "saved", "saving", "save"), ("validate", "validation", "validator"), ("step", "stepping", "stepped", "stepper"), ("query", "queries", "queried"), ("class", "classes")]
+    for group in together:
+        assert len({stem(w) for w in group}) == 1, group
+    words = [w for g in together for w in g] + ["pass", "press", "falling", "miss", "is", "ed", "ions", "stations", "going", "ties", "bees", "grasses", "user", "err", "adder"]
+    found = spark.createDataFrame([(w,) for w in words], "w string")
+    assert all(r.s == stem(r.w) for r in found.select("w", stemmed(F.col("w")).alias("s")).collect())
+
+
+CHANNELS = {
+    "web/app.py": "@app.get('/items/{item_id}')\ndef item(item_id):\n    return load()\n\ndef load():\n    db.execute('select name from items')\n",
+    "web/client.py": "def fetch():\n    return http.get('/items/3')\n\ndef lost():\n    http.get('/nowhere/1')\n",
+    "jobs/work.py": "def sell():\n    bus.publish('shop.sold', 1)\n    db.execute('insert into item values (1)')\n\ndef listen():\n    bus.subscribe('shop.*', on_sold)\n\ndef on_sold():\n    open('out/report.csv', 'w')\n",
+    "jobs/report.py": "import subprocess\ndef read():\n    open('report.csv')\n\ndef start():\n    subprocess.run(['python', 'jobs/tool.py'])\n",
+    "jobs/tool.py": "print(1)\n",
+    "tests/conftest.py": "import pytest\n@pytest.fixture\ndef shop():\n    from jobs.work import sell\n    sell()\n",
+    "tests/test_shop.py": "def test_it(shop):\n    assert shop\n",
+}
+
+
+def test_index_links_channels(spark, tmp_path):
+    """Impact, traces and flows cross routes, queues, tables, files, programs and fixtures."""
+    from weftgraph.indexing import index_tree
+
+    for path, text in CHANNELS.items():
+        (tmp_path / "tree" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / path).write_text(text)
+    store = GraphStore(spark, (tmp_path / "store").as_uri())
+    generation = store.generation
+    index_tree(spark, store, str(tmp_path / "tree"), "r")
+    assert store.generation == generation + 1  # one move
+    e = GraphEngine(spark, store)
+    at = lambda i: i.removeprefix("r:python:")
+    sent = {(r.channel, at(r.src), at(r.dst)) for r in e.edges.filter("kind = 'communicates'").collect()}
+    assert sent == {
+        ("http", "web.client.fetch", "web.app.item"),
+        ("queue", "jobs.work.sell", "jobs.work.on_sold"),
+        ("db", "jobs.work.sell", "web.app.load"),
+        ("file", "jobs.work.on_sold", "jobs.report.read"),
+        ("process", "jobs.report.start", "jobs.tool.<module>"),
+    }
+    assert ("tests.test_shop.test_it", "tests.conftest.shop") in {(at(r.src), at(r.dst)) for r in e.calls.collect()}
+    assert {at(i) for i, _ in rows(e.impact("r:python:web.app.load"), "id", "dist")} >= {"web.app.item", "web.client.fetch"}
+    assert "web.app.load" in {at(i) for i, _ in rows(e.impact("r:python:jobs.work.sell"), "id", "dist")}  # written, so its readers
+    flow = [at(r.fn) for r in e.flow("flow:r:python:tests.test_shop.test_it").collect()]
+    assert flow[:2] == ["tests.test_shop.test_it", "tests.conftest.shop"] and "jobs.work.on_sold" in flow
+    assert "flow:r:python:jobs.tool.<module>" in {r.id for r in e.flows().collect()}
+    assert store.unreferenced() == [] and store.clean() == 0
+
+
+def test_store_moves_at_once(spark, tmp_path, monkeypatch):
+    """Whatever step a write dies at, readers find the old version or the new one."""
+    store = GraphStore(spark, tmp_path.as_uri())
+    row = lambda *ids: spark.createDataFrame([(i, "p", 1) for i in ids], "run string, test string, lines int").selectExpr("run", "test", "cast(null as string) test_id", "cast(null as string) node_id", "lines")
+    store.write("covered", row("a"))
+    for name in ("_written", "_move", "_point"):
+        with monkeypatch.context() as m:
+            m.setattr(GraphStore, name, lambda *a, **k: (_ for _ in ()).throw(OSError("killed")))
+            with pytest.raises(OSError):
+                store.write_all({"covered": row("b"), "test_results": store.read("test_results")})
+        assert rows(GraphStore(spark, tmp_path.as_uri()).read("covered"), "run") == [("a",)]
+    assert store.clean() > 0 and rows(store.read("covered"), "run") == [("a",)]
+    before = store.versions()["tables"]["covered"]
+    store.append("covered", row("b", "c"))
+    assert rows(store.read("covered"), "run") == [("a",), ("b",), ("c",)]
+    assert before in store.versions()["tables"]["covered"]  # what was there lies where it lay
+    other = store.versions()
+    store.append("covered", row("d"))
+    with pytest.raises(RuntimeError):
+        store._move(other, {})
+
+
+def test_search_find_expand(spark, indexed, tmp_path):
+    from weftgraph.indexing import index_tree
+
+    store = GraphStore(spark, tmp_path.as_uri())
+    index_tree(spark, store, str(indexed[0]), "r")
+    e = GraphEngine(spark, store)
+    run = "r:python:pkg.base.Base.run"
+    assert e.search("Base.run").first().id == run and e.search(run).first().id == run
+    assert e.search("pkg/base.py").first().path == "pkg/base.py" and e.search("base.py").first().path == "pkg/base.py"
+    assert {r.id for r in e.search("elpe").collect()} == {r.id for r in e.search("helper").collect()}  # no word begins so
+    assert e.search("").count() >= 0 and e.search("%").count() == 0
+    assert [(r.id, r.outcome) for r in e.find("Base.run").collect()] == [(run, "found")]
+    assert {r.outcome for r in e.find("helper").collect()} == {"candidate"} and e.find("helper").count() == 2
+    guess = e.find("pkg.base.Base.helpr").collect()
+    assert all(r.outcome == "did you mean" for r in guess)
+    assert {r.outcome for r in e.find("Nowhere.helpe").collect()} == {"did you mean"}
+    found = {(r.section, r.kind): r.total for r in e.expand("Base.run").collect()}
+    assert found[("called_by", "calls")] >= 1 and e.expand("helper").count() == 0
+    assert {(r.section, r.kind) for r in e.expand("r:python:pkg.base.Base").collect()} >= {("contains", "callable"), ("contains", "field")}
+    chain = e.chain(run).collect()
+    assert chain and chain[-1].dst == run
+    rule = e.add_rule("forbid", "module:a", "module:b")
+    assert e.add_rule("forbid", "module:a", "module:b") == rule and e.add_rule("no_cycle", "*") == rule + 1
+    with pytest.raises(ValueError):
+        e.add_rule("wish", "*")
+    claim = e.add_finding("c1", "me", "minor", "does too much", [run])
+    assert e.add_finding("c1", "me", "minor", "does too much", [run]) == claim and store.read("findings").count() == 1
+    with pytest.raises(ValueError):
+        e.add_finding("c1", "me", "minor", "x", ["r:python:no.such"])
+    lines_ = spark.createDataFrame([("one", "t", "t", run, 3), ("two", "t", "t", run, 4)], store.read("covered").schema)
+    e.write_coverage(lines_)
+    e.write_coverage(lines_.filter("run = 'two'").withColumn("lines", F.lit(9)))
+    assert rows(store.read("covered"), "run", "lines") == [("one", 3), ("two", 9)]
+
+
+def test_leftover_edits(spark):
+    from weftgraph.operators.change import explained
+
+    nodes = spark.createDataFrame([("top", True, 1, 99), ("cls", False, 1, 99), ("fn", False, 200, 220), ("far", True, 1, 99)], "id string, top boolean, first int, last int")
+    spans = spark.createDataFrame([("top", 10, 12), ("cls", 20, 30), ("fn", 1, 5), ("far", 10, 12)], "id string, a int, b int")
+    edits = [
+        ("top", 1, "import os"), ("top", 9, "x = 1"), ("top", 14, ""), ("top", 40, "# note"), ("top", 50, "register(made)"), ("top", 51, "other()"),
+        ("cls", 31, "y = 2"), ("fn", 201, "# note"), ("far", 60, "z = 3"),
+    ]
+    found = explained(nodes, spark.createDataFrame(edits, "id string, line int, text string"), spans, ["made"])
+    assert dict(rows(found, "id", "explained")) == {"top": True, "cls": True, "fn": False, "far": False}
+
+
+def test_relabelled(spark):
+    from weftgraph.operators.patterns import relabelled
+
+    schema = "id string, pattern string, matcher string, evidence_hash string, stale boolean"
+    labels = spark.createDataFrame([("a", "p", "structural", "1", False), ("b", "p", "person", "1", False), ("c", "q", "person", "2", True)], schema)
+    found = spark.createDataFrame([("d", "p", "7")], "id string, pattern string, evidence_hash string")
+    now = spark.createDataFrame([("b", "9"), ("c", "2")], "id string, evidence_hash string")
+    assert rows(relabelled(labels, found, now), "id", "matcher", "stale") == [("b", "person", True), ("c", "person", False), ("d", "structural", False)]

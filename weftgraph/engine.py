@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import annotations, change, communities, coverage, history, links, lookup, rollup, rules, textrank, traverse
-from weftgraph.schema import IMPACT_DEPTH, TRACE_DEPTH
+from weftgraph.operators import annotations, change, communities, coverage, history, incremental, links, lookup, patterns, rollup, rules, textrank, traverse
+from weftgraph.schema import HISTORY_COMMITS, HISTORY_DAYS, IMPACT_DEPTH, TRACE_DEPTH
 from weftgraph.store import GraphStore
 
 
@@ -69,7 +70,51 @@ class GraphEngine:
         return rollup.overview(self.functions, self.calls, self.access)
 
     def search(self, text: str, most: int = 20) -> DataFrame:
-        return lookup.exact_first(self.nodes.select("id", "name", "kind"), text, most)
+        return lookup.search(self.nodes, text, most)
+
+    def find(self, text: str) -> DataFrame:
+        return lookup.find(self.nodes, text)
+
+    def expand(self, text: str) -> DataFrame:
+        """One node in detail, by id or by a name that only one node has; else nothing."""
+        found = self.find(text).filter("outcome = 'found'").first()
+        tree = self.nodes.select("id", "parent_id", "kind")
+        return lookup.expanded(found["id"] if found else None, tree, self.edges, self.calls)
+
+    def chain(self, node: str) -> DataFrame:
+        return traverse.flow_chain(node, self.steps, self.flows_)
+
+    def process_boundaries(self) -> DataFrame:
+        return patterns.process_boundary(self.edges.filter("kind = 'communicates'").withColumn("pipes", F.lit(False)))
+
+    def add_rule(self, kind: str, selector_from: str, selector_to: str | None = None, severity: str = "error", status: str = "proposed") -> int:
+        """Record a rule, or give the id of the same one."""
+        if kind not in ("forbid", "no_cycle", "must_be_tested"):
+            raise ValueError(f"unknown kind of rule: {kind}")
+        known = self.store.read("rules")
+        same = known.filter((F.col("kind") == kind) & (F.col("selector_from") == selector_from) & F.col("selector_to").eqNullSafe(selector_to)).first()
+        if same:
+            return same["id"]
+        new = (known.agg(F.max("id").alias("m")).first()["m"] or 0) + 1
+        self.store.append("rules", self.spark.createDataFrame([(new, kind, selector_from, selector_to, None, severity, status)], known.schema))
+        return new
+
+    def add_finding(self, change_id: str, reviewer: str, severity: str, claim: str, evidence: list[str]) -> str:
+        """Record a reviewer's claim about known nodes; the same claim has the same id."""
+        there = {r["id"] for r in self.nodes.filter(F.col("id").isin(*evidence)).select("id").collect()} if evidence else set()
+        if not claim.strip() or set(evidence) - there:
+            raise ValueError("a finding needs a claim and evidence that is on the map")
+        new = hashlib.sha1(f"{change_id}|{reviewer}|{claim}|{sorted(evidence)}".encode()).hexdigest()[:12]
+        known = self.store.read("findings")
+        if known.filter(F.col("id") == new).isEmpty():
+            row = (new, change_id, reviewer, severity, claim, evidence, "open", None)
+            self.store.append("findings", self.spark.createDataFrame([row], known.schema))
+        return new
+
+    def write_coverage(self, covered: DataFrame) -> None:
+        """Measured lines (run, test, test_id, node_id, lines), in place of those of the same runs."""
+        known = self.store.read("covered")
+        self.store.write("covered", incremental.replaced(known, covered.select(*known.columns), "run"))
 
     def neighbors(self, n: int = 100) -> DataFrame:
         return lookup.neighbors_first_n(links.call_pairs(self.calls).select("src", "dst", "sites"), n)
@@ -97,16 +142,25 @@ class GraphEngine:
     def shared_state(self) -> DataFrame:
         return rollup.shared_state(self.access, self.functions)
 
+    def _changes(self, days: int = HISTORY_DAYS, commits: int = HISTORY_COMMITS) -> DataFrame:
+        """The recent changes, each path as it is called today."""
+        now = history.renamed(self._read("changes"))
+        newest = now.agg(F.max("ts").alias("t")).first()["t"]
+        last = now.select("commit_seq").distinct().orderBy(F.desc("commit_seq")).limit(commits)
+        recent = now if newest is None else now.filter(F.col("ts") >= F.lit(newest) - F.expr(f"interval {days} days"))
+        return recent.join(F.broadcast(last), "commit_seq", "left_semi").select(F.col("commit_seq").alias("commit_id"), "path").distinct()
+
     def coupling(self, **thresholds) -> DataFrame:
-        changes = self._read("changes").select(F.col("commit_seq").alias("commit_id"), "path")
-        return history.strongest(changes, **thresholds)
+        return history.strongest(self._changes(), **thresholds)
 
     def coverage(self) -> DataFrame:
         return coverage.summary(self.functions, self.covered, self.steps, self.flows_)
 
     def affected_tests(self, changed: list[str]) -> DataFrame:
+        """(test, rank): tests that ran the changed code (1), then those whose flow passes
+        changed code that no test ran (2)."""
         own = self.spark.createDataFrame([(c,) for c in changed], "id string")
-        return coverage.tests_for(self.covered, 10_000, own)
+        return coverage.affected_tests(own, self.covered, self.steps, self.flows_)
 
     def assess(self, targets: list[tuple[str, str]], depth: int = 4) -> DataFrame:
         return change.assess(self.spark.createDataFrame(targets, "id string, action string"), self.calls, self.access, self.edges, depth)
@@ -147,4 +201,7 @@ class GraphEngine:
         seeds = self.spark.createDataFrame([(f, 1.0 / len(focus)) for f in focus], "id string, weight double")
         rank = traverse.pagerank(both, seeds, rounds).join(self.nodes.select("id", "name", "path"), "id")
         tokens = (F.length("id") + F.length("name") + F.length(F.coalesce("path", F.lit("")))) / 4
-        return textrank.budget_pack(rank.withColumn("_all", F.lit(1)), "_all", [F.desc("rank"), "id"], tokens, budget_tokens).drop("_all")
+        # No more nodes fit than those of the least size, so only so many of the highest rank are packed.
+        least = rank.agg(F.min(tokens).alias("t")).first()["t"] or 1.0
+        top = rank.orderBy(F.desc("rank"), "id").limit(int(budget_tokens / max(least, 0.25)) + 1)
+        return textrank.budget_pack(top.withColumn("_all", F.lit(1)), "_all", [F.desc("rank"), "id"], tokens, budget_tokens).drop("_all")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.runtime import first_per
+
 
 def evidence_hash(evidence: DataFrame, key: str, node: str, content: str) -> DataFrame:
     """(key, h): sha1 over the sorted distinct node:hash entries of each key."""
@@ -42,9 +44,11 @@ def refused(annotations: DataFrame, nodes: DataFrame) -> DataFrame:
     return bare.unionByName(unknown).distinct()
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with the rows of new in place of those with the same keys; the last of new counts."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.dropDuplicates(keys))
+def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """old with the rows of new in place of those with the same keys; of several new rows with
+    the same keys the greatest in ``order`` counts, without an order any one."""
+    one = first_per(new, keys, [F.desc(order)]).drop("_rank") if order else new.dropDuplicates(keys)
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(one.select(*old.columns))
 
 
 def notes(annotations: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import base_id
@@ -223,3 +225,44 @@ def grade(links: DataFrame) -> DataFrame:
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one table and not of the other, with their side; empty if equal as bags."""
     return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))
+
+
+#: Lines that are no code of their own, and lines that bring names in.
+COMMENT = r"^\s*($|#|//|/\*|\*|--|<!--|[\x22\x27]{3})"
+IMPORT = r"^\s*(import\s|from\s+\S+\s+import\s|using\s|#include\s|use\s|require\(|const\s.*=\s*require\(|export\s.*\sfrom\s)"
+#: Lines beside task code that belong to it, and the longest run that may name it.
+BESIDE, LONGEST_RUN = 2, 15
+
+
+def explained(nodes: DataFrame, leftover: DataFrame, spans: DataFrame, names: list[str]) -> DataFrame:
+    """(id, explained): whether the changed lines of a node that no task covers go with those
+    that one does.
+
+    nodes has id, top (a file's top level), first, last; leftover id, line, text; spans id,
+    a, b of task code.  Each line must be blank, a comment, an import beside task code, near
+    task code, or in a short run of changed lines that names it; and a node that is no top
+    level must hold task code."""
+    word = "|".join(re.escape(n) for n in names if n)
+    says = F.col("text").rlike(rf"(^|[^A-Za-z0-9_$])({word})($|[^A-Za-z0-9_$])") if word else F.lit(False)
+    in_order = Window.partitionBy("id").orderBy("line")
+    run = Window.partitionBy("id", "run")
+    lines = leftover.withColumn("run", F.col("line") - F.row_number().over(in_order))
+    lines = lines.withColumn("named", (F.count(F.lit(1)).over(run) <= LONGEST_RUN) & F.max(says).over(run))
+    own = nodes.select("id", "top", "first", "last").join(spans, "id")
+    held = own.groupBy("id").agg(F.bool_or((F.col("first") <= F.col("a")) & (F.col("b") <= F.col("last"))).alias("holds"))
+    # The lines beside each span, so that nearness is an equi-join.
+    beside = spans.select("id", F.explode(F.sequence(F.col("a") - BESIDE, F.col("b") + BESIDE)).alias("line")).distinct().withColumn("near", F.lit(True))
+    fine = (
+        F.col("named")
+        | F.col("near").isNotNull()
+        | F.col("text").rlike(COMMENT)
+        | (F.col("holds").isNotNull() & F.col("text").rlike(IMPORT))
+    )
+    return (
+        lines.join(beside, ["id", "line"], "left")
+        .join(held, "id", "left")
+        .groupBy("id")
+        .agg(F.bool_and(fine).alias("fine"), F.bool_or(F.coalesce("holds", F.lit(False))).alias("holds"))
+        .join(nodes.select("id", "top"), "id")
+        .select("id", (F.col("fine") & (F.col("top") | F.col("holds"))).alias("explained"))
+    )

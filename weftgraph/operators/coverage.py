@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 
 def innermost(points: DataFrame, spans: DataFrame, point: str, key: list[str], on: list[str] | None = None) -> DataFrame:
-    """points with the span (first, last, owner) of greatest first that holds them.
+    """points with the span (first, last, owner) of greatest first that holds them; of
+    several the shortest, then the greatest owner.
 
     With ``on`` the range join runs within equal keys (a file), as it should on large
     tables."""
     inside = F.col(point).between(F.col("first"), F.col("last"))
     hit = points.join(spans, on).filter(inside) if on else points.join(spans, inside)
-    return hit.groupBy(*key).agg(F.max_by("owner", "first").alias("owner"))
+    return hit.groupBy(*key).agg(F.max_by("owner", F.struct(F.col("first"), -F.col("last"), F.col("owner"))).alias("owner"))
 
 
 def bucketed_innermost(points: DataFrame, spans: DataFrame, point: str, key: list[str], width: float) -> DataFrame:
@@ -27,7 +28,7 @@ def bucketed_innermost(points: DataFrame, spans: DataFrame, point: str, key: lis
         own.join(dealt, "_bucket")
         .filter(F.col(point).between(F.col("first"), F.col("last")))
         .groupBy(*key)
-        .agg(F.max_by("owner", "first").alias("owner"))
+        .agg(F.max_by("owner", F.struct(F.col("first"), -F.col("last"), F.col("owner"))).alias("owner"))
     )
 
 
@@ -81,12 +82,25 @@ def affected_tests(changed: DataFrame, covered: DataFrame, steps: DataFrame, flo
     """(test, reason): tests that ran changed code, then tests whose flow passes changed
     code that no test ran. Rank 1 is measured, 2 from the map."""
     own = changed.select(F.col("id").alias("fn"))
-    measured = covered.join(own, "fn", "left_semi").select(F.col("test").cast("long"), F.lit(1).cast("long").alias("rank"))
+    measured = covered.join(own, "fn", "left_semi").select("test", F.lit(1).cast("long").alias("rank"))
     blind = own.join(covered.select("fn"), "fn", "left_anti")
     tests = flows.filter("kind = 'test'").select(F.col("id").alias("flow_id"))
     mapped = (
         steps.join(blind, "fn", "left_semi")
         .join(tests, "flow_id", "left_semi")
-        .select(F.col("flow_id").cast("long").alias("test"), F.lit(2).cast("long").alias("rank"))
+        .select(F.col("flow_id").cast(covered.schema["test"].dataType).alias("test"), F.lit(2).cast("long").alias("rank"))
     )
     return measured.unionByName(mapped).groupBy("test").agg(F.min("rank").alias("rank"))
+
+
+def mark_scenarios(scenarios: DataFrame, covered: DataFrame, changed: DataFrame, same_run: bool) -> DataFrame:
+    """(scenario, ran): whether a passing scenario (scenario, test, passes) ran changed code.
+
+    Null where it does not pass, or where its test left no record and the coverage may be
+    of another run; false if it left none in the very run that passed it."""
+    hit = covered.join(changed.select(F.col("id").alias("fn"), F.lit(True).alias("_hit")).distinct(), "fn", "left")
+    by_test = hit.groupBy("test").agg(F.bool_or(F.coalesce("_hit", F.lit(False))).alias("hit"))
+    none = F.lit(False) if same_run else F.lit(None).cast("boolean")
+    return scenarios.join(by_test, "test", "left").select(
+        "scenario", F.when(F.col("passes"), F.coalesce("hit", none)).alias("ran")
+    )

@@ -26,11 +26,12 @@ def renamed(changes: DataFrame) -> DataFrame:
     Renames are followed from old to new over any number of steps."""
     moves = changes.filter("status = 'R'").groupBy(F.col("old_path").alias("was")).agg(F.max_by("path", "commit_seq").alias("now"))
     moves = staged(moves.filter("was <> now"), "renames")
-    for _ in range(64):
+    while True:
         further = moves.alias("m").join(moves.alias("n"), F.col("m.now") == F.col("n.was"), "left")
         new = staged(
             further.select(F.col("m.was").alias("was"), F.coalesce("n.now", "m.now").alias("now")).filter("was <> now"), "renames"
         )
+        # What moved in a circle drops out, so each round follows twice as many steps of the rest.
         same = new.exceptAll(moves).isEmpty()
         moves = new
         if same:

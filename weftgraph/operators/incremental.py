@@ -21,9 +21,12 @@ def mentions(files: DataFrame, path: str = "path", text: str = "text") -> DataFr
 
 def to_resolve(changed: DataFrame, names: DataFrame, mentioned: DataFrame, imports: DataFrame) -> DataFrame:
     """(path) of files to resolve anew: changed, mentioning a changed name (token), or
-    importing a changed file (path, target)."""
+    importing a changed file (path, target), directly or over others."""
+    from weftgraph.operators.traverse import bfs
+
     by_name = mentioned.join(names.select("token").distinct(), "token", "left_semi").select("path")
-    by_import = imports.join(changed.select(F.col("path").alias("target")), "target", "left_semi").select("path")
+    back = imports.select(F.col("target").alias("at"), F.col("path").alias("to")).distinct()
+    by_import = bfs(changed.select(F.col("path").alias("id")), back, None).select(F.col("id").alias("path"))
     return changed.select("path").unionByName(by_name).unionByName(by_import).distinct()
 
 

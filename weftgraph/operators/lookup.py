@@ -193,3 +193,85 @@ def source_lines(files: DataFrame, nodes: DataFrame, most: int = 200) -> DataFra
     return nodes.join(files, "path").select(
         "id", "first", F.array_join(lines, "\n").alias("text"), (F.col("last") - F.col("first") + 1 > most).alias("cut")
     )
+
+
+#: How much a hit counts in a node's name, qualified name and path.
+SEARCH_WEIGHTS = {"name": 10.0, "qualified": 3.0, "path": 1.0}
+
+
+def weighted_hits(nodes: DataFrame, query: str, weights: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score): nodes where every query word begins some word of the weighted columns, by
+    BM25 over the weighted number of hits.  One pass counts, no postings are built."""
+    terms = re.findall(r"[a-z0-9_]+", query.lower())
+    words = {c: search_words(F.coalesce(F.col(c), F.lit(""))) for c in weights}
+    hits = [sum((F.lit(w) * F.size(F.filter(words[c], _begins(t))) for c, w in weights.items()), F.lit(0.0)) for t in terms]
+    length = sum((F.size(x) for x in words.values()), F.lit(0)).cast("double")
+    own = nodes.select("id", length.alias("len"), *(h.alias(f"f{i}") for i, h in enumerate(hits)))
+    if not terms:
+        return own.select("id", F.lit(0.0).alias("score")).limit(0)
+    stats = own.agg(
+        F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms)))
+    ).first()
+    score, every = F.lit(0.0), F.lit(True)
+    for i in range(len(terms)):
+        f, n = F.col(f"f{i}"), stats[f"n{i}"]
+        rarity = F.greatest(F.log(F.lit((stats["n"] - n + 0.5) / (n + 0.5))), F.lit(1e-6))
+        score = score + rarity * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("len") / F.lit(float(stats["mean"] or 1.0))))
+        every = every & (f > 0)
+    return own.filter(every).select("id", score.alias("score"))
+
+
+def search(nodes: DataFrame, text: str, most: int = 20) -> DataFrame:
+    """(id, name, kind, path, score): what the text names exactly (an id, a name, a path or
+    the end of one, Owner.name) first, then weighted word hits, or, where there are none,
+    names and ids that hold the text."""
+    q = text.strip()
+    qualified = F.regexp_replace("id", r"^[^:]*:[^:]*:", "")
+    own = nodes.select("id", "name", "kind", "path").withColumn("qualified", qualified)
+    ends = F.endswith("path", F.lit("/" + q)) & F.col("kind").isin("file", "module")
+    owned = F.endswith("qualified", F.lit("." + q)) if "." in q else F.lit(False)
+    grade = (
+        F.when(F.col("id") == q, 5).when(F.col("path").eqNullSafe(q) & F.col("kind").isin("file", "module"), 4)
+        .when(F.col("name") == q, 3).when(ends, 2).when(owned | (F.col("qualified") == q), 1).otherwise(0)
+    )
+    found = weighted_hits(own, q, SEARCH_WEIGHTS)
+    if found.isEmpty():
+        held = F.col("name").ilike(like_pattern(q)) | F.col("id").ilike(like_pattern(q))
+        found = own.filter(held).select("id", F.lit(0.0).alias("score"))
+    rows = own.withColumn("grade", grade if q else F.lit(0)).join(found, "id", "left").filter("score is not null or grade > 0")
+    return rows.orderBy(F.desc("grade"), F.desc_nulls_last("score"), F.length("id"), "id").limit(most).select("id", "name", "kind", "path", "score")
+
+
+def find(nodes: DataFrame, text: str, most: int = 5) -> DataFrame:
+    """(id, name, kind, path, outcome): the one node that a text means (``found``), the
+    several that it could mean (``candidate``), or what it may have meant (``did you mean``)."""
+    q = text.strip()
+    qualified = F.regexp_replace("id", r"^[^:]*:[^:]*:", "")
+    own = nodes.select("id", "name", "kind", "path", qualified.alias("qualified"))
+    named = own.filter((F.col("id") == q) | (F.col("name") == q) | (F.col("path") == q) | (F.col("qualified") == q) | F.endswith("qualified", F.lit("." + q)))
+    # An id beats a path, a path a name: only the best kind of match counts.
+    grade = F.when(F.col("id") == q, 3).when((F.col("path") == q) & (F.col("kind") == "file"), 2).when(F.col("path") == q, 0).otherwise(1)
+    graded = named.withColumn("grade", grade)
+    top = graded.agg(F.max("grade").alias("g")).first()["g"]
+    if top is not None:
+        best = graded.filter(F.col("grade") == top).orderBy(F.length("id"), "id").limit(most + 1)
+        n = best.count()
+        return best.limit(most).select("id", "name", "kind", "path", F.lit("found" if n == 1 else "candidate").alias("outcome"))
+    last = re.split(r"[:.]", q)[-1]
+    return search(nodes, last, most).drop("score").withColumn("outcome", F.lit("did you mean"))
+
+
+def expanded(node, tree: DataFrame, edges: DataFrame, calls: DataFrame) -> DataFrame:
+    """(section, kind, total, first): one node in detail: what it contains by kind, its edges
+    out and in by kind, whom it calls and who calls it; tree has id, parent_id, kind."""
+    pairs = calls.select("src", "dst").distinct()
+    some = lambda df, section, kind, end: df.groupBy(F.lit(section).alias("section"), kind.alias("kind")).agg(
+        F.count(F.lit(1)).alias("total"), F.min(end).alias("first")
+    )
+    return (
+        some(tree.filter(F.col("parent_id") == node), "contains", F.col("kind"), "id")
+        .unionByName(some(edges.filter(F.col("src") == node), "out", F.col("kind"), "dst"))
+        .unionByName(some(edges.filter(F.col("dst") == node), "in", F.col("kind"), "src"))
+        .unionByName(some(pairs.filter(F.col("src") == node), "calls", F.lit("calls"), "dst"))
+        .unionByName(some(pairs.filter(F.col("dst") == node), "called_by", F.lit("calls"), "src"))
+    )

@@ -83,3 +83,24 @@ def singleton(fields: DataFrame, methods: DataFrame) -> DataFrame:
     held = fields.filter("is_static and owner = type_id").select("owner").distinct()
     hidden = methods.filter("is_ctor").groupBy("owner").agg(F.bool_and(F.col("visibility") != "public").alias("h")).filter("h")
     return held.join(hidden, "owner", "left_semi")
+
+
+def process_boundary(links: DataFrame) -> DataFrame:
+    """(launcher, program, pipes): a function that starts another program, and whether it
+    talks to it over pipes; links has src, dst, channel, pipes."""
+    return (
+        links.filter("channel = 'process'")
+        .groupBy(F.col("src").alias("launcher"), F.col("dst").alias("program"))
+        .agg(F.bool_or(F.coalesce("pipes", F.lit(False))).alias("pipes"))
+    )
+
+
+def relabelled(labels: DataFrame, found: DataFrame, hashes: DataFrame, matcher: str = "structural") -> DataFrame:
+    """Labels (id, pattern, matcher, evidence_hash, stale) after a fresh pass: the matcher's own
+    are those found now; others stay, and are stale if the evidence hashes to something else
+    now (hashes has id, evidence_hash)."""
+    now = hashes.select("id", F.col("evidence_hash").alias("_now"))
+    kept = labels.filter(F.col("matcher") != matcher).join(now, "id", "left")
+    stale = ~F.col("evidence_hash").eqNullSafe(F.col("_now"))
+    fresh = found.select("id", "pattern", F.lit(matcher).alias("matcher"), "evidence_hash", F.lit(False).alias("stale"))
+    return fresh.unionByName(kept.select("id", "pattern", "matcher", "evidence_hash", stale.alias("stale")))

@@ -39,10 +39,11 @@ def types_by_name(refs: DataFrame, types: DataFrame, imported: DataFrame) -> Dat
     return both.withColumn("_k", k).filter("_k = 1").select("src", "dst", "role")
 
 
-def base_closure(bases: DataFrame, most: int = 64) -> DataFrame:
-    """(sub, super, dist): all bases of each type over (sub, super), nearest distance."""
+def base_closure(bases: DataFrame) -> DataFrame:
+    """(sub, super, dist): all bases of each type over (sub, super), nearest distance; until
+    nothing is new."""
     out = front = staged(bases.select("sub", "super", F.lit(1).cast("long").alias("dist")).filter("sub <> super").distinct(), "bases")
-    for _ in range(most):
+    while True:
         nxt = (
             front.withColumnRenamed("super", "_mid")
             .join(bases.select(F.col("sub").alias("_mid"), "super"), "_mid")
@@ -207,12 +208,12 @@ def by_path_suffix(imports: DataFrame, files: DataFrame) -> DataFrame:
     return imports.select("path", "target").join(found, "target").filter("path <> dst").select("path", "target", "dst")
 
 
-def argument_types(passed: DataFrame, forwarded: DataFrame, most: int = 32) -> DataFrame:
+def argument_types(passed: DataFrame, forwarded: DataFrame) -> DataFrame:
     """(fn, param, type_id): the types that callers pass to a parameter. passed has those
     known at a call; forwarded (fn, param, to_fn, to_param) are parameters handed on, and
     types follow them until nothing is new."""
     out = front = staged(passed.select("fn", "param", "type_id").distinct(), "argument-types")
-    for _ in range(most):
+    while True:
         nxt = (
             front.join(forwarded, ["fn", "param"])
             .select(F.col("to_fn").alias("fn"), F.col("to_param").alias("param"), "type_id")

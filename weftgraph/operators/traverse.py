@@ -17,11 +17,12 @@ from weftgraph.runtime import staged
 from weftgraph.schema import FLOW_DEPTH, FLOW_STEPS_MOST, IMPACT_DEPTH, RESTART, TRACE_DEPTH
 
 
-def bfs(start: DataFrame, edges: DataFrame, depth: int | None, lift: DataFrame | None = None) -> DataFrame:
+def bfs(start: DataFrame, edges: DataFrame, depth: int | None, lift: DataFrame | None = None, until=None) -> DataFrame:
     """(id, dist, prev): nodes reached from start (id) over edges (at, to) within depth.
 
     ``prev`` is the least node of the level before. ``lift`` (id, outer) lets an enclosing
-    node join at the distance of the one inside it. Without depth: until nothing is new."""
+    node join at the distance of the one inside it. Without depth: until nothing is new;
+    with ``until``: at most to the level of that node."""
     kind = start.schema["id"].dataType.simpleString()
     seen = _lifted(
         start.select("id").distinct().select("id", F.lit(0).cast("long").alias("dist"), F.lit(None).cast(kind).alias("prev")), lift
@@ -38,9 +39,12 @@ def bfs(start: DataFrame, edges: DataFrame, depth: int | None, lift: DataFrame |
             .select("id", F.lit(dist).cast("long").alias("dist"), "prev")
         )
         front = staged(_lifted(step.join(seen, "id", "left_anti"), lift, seen), "reached")
-        if front.isEmpty():
+        size = front.agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("id") == F.lit(until)).alias("found")).first()
+        if not size["n"]:
             break
         seen = seen.unionByName(front)
+        if size["found"]:
+            break
     return seen
 
 
@@ -91,26 +95,31 @@ def shortest_path(start, goal, calls: DataFrame, depth: int = TRACE_DEPTH) -> Da
     spark = calls.sparkSession
     kind = calls.schema["src"].dataType.simpleString()
     edges = staged(calls.select(F.col("src").alias("at"), F.col("dst").alias("to")).filter("at <> to").distinct(), "adjacency")
-    reached = bfs(spark.range(1).select(F.lit(start).cast(kind).alias("id")), edges, depth)
-    path, at = [], goal
-    for _ in range(depth + 1):  # one row a step, at most depth of them
-        row = reached.filter(F.col("id") == at).first()
-        if row is None:
-            break
-        path.append((int(row["dist"]), row["id"]))
-        at = row["prev"]
-        if at is None:
-            break
+    reached = bfs(spark.range(1).select(F.lit(start).cast(kind).alias("id")), edges, depth, until=goal)
+    last = reached.filter(F.col("id") == goal).select("id", "dist").first()
+    path = []
+    if last:
+        # Backwards in one plan: each level, filtered by its distance, meets a single row.
+        hops = last["dist"]
+        back = spark.range(1).select(F.lit(last["id"]).cast(kind).alias(f"p{hops}"))
+        for d in range(hops, 0, -1):
+            level = reached.filter(F.col("dist") == d).select(F.col("id").alias(f"p{d}"), F.col("prev").alias(f"p{d - 1}"))
+            back = level.join(F.broadcast(back), f"p{d}")
+        row = back.first()
+        path = [(d, row[f"p{d}"]) for d in range(hops + 1)]
     return spark.createDataFrame(path, f"pos long, id {kind}").orderBy("pos")
 
 
-def ancestors(tree: DataFrame, most: int = 64) -> DataFrame:
+def ancestors(tree: DataFrame) -> DataFrame:
     """(id, ancestor, dist) for every node of a tree (id, parent_id), itself at 0.
 
-    Distances double each round, so a tree of depth d takes log d rounds."""
+    Distances double each round, so a tree of depth d takes log d rounds; parents that form
+    a circle are refused."""
     up = staged(tree.filter("parent_id is not null").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).cast("long").alias("dist")), "ancestors")
     reach = 1
-    while reach < most:
+    while True:
+        if reach > 1 << 16:
+            raise ValueError("the parents of some nodes form a circle")
         more = (
             up.filter(F.col("dist") == reach)
             .select("id", F.col("ancestor").alias("mid"))
@@ -343,3 +352,31 @@ def path_without_data_first(start, goal, calls: DataFrame, channels: DataFrame,
     """A shortest path over calls alone; only if there is none, over data channels as well."""
     found = shortest_path(start, goal, calls, depth)
     return shortest_path(start, goal, calls.select("src", "dst").unionByName(channels.select("src", "dst")), depth) if found.isEmpty() else found
+
+
+def only_called_from(calls: DataFrame, named: DataFrame) -> DataFrame:
+    """(id): nodes that something else calls, and only nodes of ``named`` (id) do."""
+    pairs = calls.filter("src <> dst").select("src", "dst").distinct()
+    own = named.select(F.col("id").alias("src"), F.lit(True).alias("_in")).distinct()
+    by = pairs.join(own, "src", "left").groupBy(F.col("dst").alias("id")).agg(F.bool_and(F.coalesce("_in", F.lit(False))).alias("all"))
+    return by.filter("all").select("id")
+
+
+def flow_chain(node, steps: DataFrame, flows: DataFrame) -> DataFrame:
+    """(pos, src, dst): the calls by which a stored flow comes from its start to a node; of
+    several flows an entry's before a test's, then the one that comes there first."""
+    spark = steps.sparkSession
+    kind = steps.schema["fn"].dataType.simpleString()
+    at = steps.filter(F.col("fn") == node).join(flows.select(F.col("id").alias("flow_id"), "kind"), "flow_id")
+    best = at.orderBy(F.col("kind") != "entry", "seq", "flow_id").select("flow_id", "seq").first()
+    links = []
+    if best:
+        # One flow has at most FLOW_STEPS_MOST steps.
+        own = {r["seq"]: r for r in steps.filter((F.col("flow_id") == best["flow_id"]) & (F.col("seq") <= best["seq"])).collect()}
+        seq = best["seq"]
+        while own[seq]["parent_seq"] is not None and own[seq]["parent_seq"] in own:
+            parent = own[seq]["parent_seq"]
+            links.append((own[parent]["fn"], own[seq]["fn"]))
+            seq = parent
+    rows = [(i + 1, a, b) for i, (a, b) in enumerate(reversed(links))]
+    return spark.createDataFrame(rows, f"pos long, src {kind}, dst {kind}")
