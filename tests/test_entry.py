@@ -40,3 +40,22 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
         with pytest.raises(RuntimeError):
             runtime.shared_dir(session(master))
     assert runtime.shared_dir(session("local[4]")).startswith("file://")
+
+
+def test_scratch_is_cleared(spark, tmp_path):
+    """By an application of its own, as the other tests' tables lie in this one's folder."""
+    script = f"""
+import sys
+sys.path.insert(0, {str(REPO)!r})
+from pathlib import Path
+from pyspark.sql import SparkSession
+from weftgraph import runtime
+spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", {tmp_path.as_uri()!r}).getOrCreate())
+assert runtime.staged(spark.range(3), "x").count() == 3
+made = list(Path({str(tmp_path)!r}).rglob("*.parquet"))
+runtime.clear_scratch(spark)
+print("CLEARED" if made and not list(Path({str(tmp_path)!r}).rglob("*.parquet")) else "LEFT")
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300)
+    assert "CLEARED" in done.stdout, done.stderr[-2000:]

@@ -31,7 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
+    """A folder for one table, under one of this application's own."""
+    return f"{shared_dir(spark)}/weftgraph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables: once results that rest on them are written."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/weftgraph/{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
