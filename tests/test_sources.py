@@ -532,3 +532,60 @@ def test_relabelled(spark):
     found = spark.createDataFrame([("d", "p", "7")], "id string, pattern string, evidence_hash string")
     now = spark.createDataFrame([("b", "9"), ("c", "2")], "id string, evidence_hash string")
     assert rows(relabelled(labels, found, now), "id", "matcher", "stale") == [("b", "person", True), ("c", "person", False), ("d", "structural", False)]
+
+
+def message(*parts):
+    """A protocol-buffer message of (number, int | bytes | str)."""
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for k, v in parts:
+        v = v.encode() if isinstance(v, str) else v
+        out += number(k << 3) + number(v) if isinstance(v, int) else number(k << 3 | 2) + number(len(v)) + v
+    return out
+
+
+def test_scip_index(spark):
+    from weftgraph.sources import scip
+
+    at = lambda line, symbol, roles=0: (2, message((1, bytes([line - 1, 4, 9])), (2, symbol), (3, roles)))
+    start = "scip-x npm pkg 1.0 `src/e.ts`/Engine#start()."
+    index = message(
+        (1, message((3, "file:///root"))),
+        (2, message((1, "e.ts"), at(3, start, 1), at(300 % 128, "local 4"), (4, "ts"))),
+        (2, message((1, "m.ts"), at(12, start), at(13, "scip-x npm pkg 1.0 `src/o.ts`/other()."))),
+    )
+    files = spark.createDataFrame([(index,), (b"\xff\xff",), (b"",), (None,)], "content binary")
+    found = scip.read_index(files)
+    assert rows(found, "path", "line", "name", "defines") == [("e.ts", 3, "start", True), ("m.ts", 12, "start", False), ("m.ts", 13, "other", False)]
+    nodes = spark.createDataFrame(
+        [("E", "Engine", "type", "e.ts", 1, 9), ("E.start", "start", "callable", "e.ts", 3, 5), ("main", "main", "callable", "m.ts", 10, 20), ("main.in", "in", "callable", "m.ts", 11, 14)],
+        "id string, name string, kind string, path string, first int, last int",
+    )
+    assert rows(scip.links(found, nodes)) == [("main.in", 12, "start", "E.start", "use")]
+    assert [scip.last_name(s) for s in ("a b c d pkg/Engine#", "x y z 1 m/f(+1).", "x y z 1 m/`odd name`#")][:2] == ["Engine", "f"]
+
+
+def test_front_end_of_ones_own(spark, monkeypatch):
+    from weftgraph.sources import adapters
+
+    monkeypatch.setattr(adapters, "_FRONT_ENDS", dict(adapters._FRONT_ENDS))
+
+    def toy(repo, path, text):
+        if "!" in text:
+            raise ValueError("no such thing")
+        return [{"record": "node", "path": path, "id": f"{repo}:toy:{w}", "kind": "callable", "name": w} for w in text.split()]
+
+    adapters.register(".toy", toy)
+    with pytest.raises(ValueError):
+        adapters.register("toy", toy)
+    files = spark.createDataFrame([("a.toy", "f g"), ("b.toy", "!"), ("c.py", "def h(): pass"), ("d.other", "x"), ("e.toy", None)], "path string, text string")
+    found = adapters.parse_files(files, "r")
+    assert adapters.endings() == [".py", ".toy"]
+    assert rows(found.filter("kind = 'callable'"), "path", "name") == [("a.toy", "f"), ("a.toy", "g"), ("c.py", "h")]
+    assert rows(found.filter("record = 'error'"), "path", "name") == [("b.toy", "ValueError")]

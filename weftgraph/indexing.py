@@ -9,14 +9,14 @@ from weftgraph.functions import route_segments
 from weftgraph.operators import channels, resolution, traverse
 from weftgraph.runtime import staged
 from weftgraph.sources import files as trees
-from weftgraph.sources import python_ast
+from weftgraph.sources import adapters
 from weftgraph.schema import DATA_CHANNELS
 from weftgraph.store import GraphStore
 
 
 def python_graph(files: DataFrame, repo: str = "repo") -> dict[str, DataFrame]:
     """nodes, edges, calls, imports, endpoints, channels and errors of Python files (path, text)."""
-    records = staged(python_ast.parse_files(files, repo), "records")
+    records = staged(adapters.parse_files(files, repo), "records")
     part = lambda r: records.filter(F.col("record") == r)
     raw = part("node").select("id", "kind", "name", "parent_id", "path", "first", "last", "body_line", "attrs")
     types = raw.filter("kind = 'type'").select("id", "name", "path")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.runtime import staged
+from weftgraph.runtime import small, staged
 from weftgraph.schema import BULK_FILES, FOLDER_SHARE, MIN_CONFIDENCE, MIN_TOGETHER
 
 
@@ -136,7 +136,7 @@ def related_changes(changes: DataFrame, commit, most: int = 5) -> DataFrame:
     own = changes.filter(F.col("commit_id") == commit).select("path").distinct()
     return (
         changes.filter(F.col("commit_id") < commit)
-        .join(F.broadcast(own), "path", "left_semi")  # the files of one commit
+        .join(small(own), "path", "left_semi")
         .groupBy("commit_id")
         .agg(F.countDistinct("path").alias("shared"))
         .orderBy(F.desc("shared"), F.desc("commit_id"))
