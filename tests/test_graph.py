@@ -1,9 +1,11 @@
 """Order-dependent and iterative operators on tiny graphs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph import export
+from weftgraph import export, runtime
 from weftgraph.operators import change, channels, communities, coverage, history, links, patterns, resolution, rules, textrank, traverse
 
 
@@ -50,6 +52,66 @@ def test_walk_order_depth_and_truncation(spark):
     assert [(r.fn, r.depth, r.parent_seq) for r in order] == [(1, 0, None), (3, 1, 0), (2, 2, 1)]
 
 
+def walked(entry, after, depth=8, most=300):
+    """A walk by plain recursion: its steps, and whether it was cut."""
+    steps, seen, cut = [(0, 0, entry, None)], {entry}, False
+
+    def go(node, d, parent):
+        nonlocal cut
+        if d == depth:
+            cut |= bool(after.get(node))
+            return
+        for n in after.get(node, ()):
+            if n not in seen:
+                if len(steps) == most:
+                    cut = True
+                    return
+                seen.add(n)
+                steps.append((len(steps), d + 1, n, parent))
+                go(n, d + 1, len(steps) - 1)
+
+    go(entry, 0, 0)
+    return [(*s, cut) for s in steps]
+
+
+def sites(spark, after):
+    found = [(a, b, i) for a, bs in after.items() for i, b in enumerate(bs)]
+    return spark.createDataFrame(found, "src long, dst long, site_start int")
+
+
+@pytest.mark.parametrize("depth, most", [(8, 300), (3, 7), (0, 5), (8, 1)])
+def test_walks_equal_plain_recursion(spark, depth, most):
+    draw = random.Random(depth)
+    # Sparse with circles, dense, a hub with more successors than a walk has steps, a lone chain.
+    after = {i: draw.sample([x for x in range(400) if x != i], draw.choice([0, 1, 1, 2, 3])) for i in range(400)}
+    after |= {i: draw.sample([x for x in range(1000, 1200) if x != i], 25) for i in range(1000, 1200)}
+    after |= {2000: list(range(2001, 2500)), 2001: [2002, 2400, 5], 2002: [2000]}
+    after |= {i: [i + 1] for i in range(3000, 3008)}
+    after = {a: bs for a, bs in after.items() if bs}
+    entries = [*range(0, 40), *range(1000, 1010), 2000, 2001, 2002, 3000, 3001, 9999]
+    starts = spark.createDataFrame([(-e, e) for e in entries], "id long, entry long")
+    found = traverse.walks(starts, sites(spark, after), depth, most)
+    expected = sorted((-e, *s) for e in entries for s in walked(e, after, depth, most))
+    assert sorted(tuple(r) for r in found.collect()) == expected
+
+
+def test_walks_are_given_what_they_look_at_not_all_within_their_depth(spark, monkeypatch):
+    draw = random.Random(1)
+    after = {i: draw.sample([x for x in range(2000) if x != i], 20) for i in range(2000)}
+    written = []
+
+    def staged(df, name):
+        out = runtime.staged(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(traverse, "staged", staged)
+    starts = spark.createDataFrame([(e, e) for e in range(10)], "id long, entry long")
+    assert traverse.walks(starts, sites(spark, after)).count() == 10 * 300
+    assert max(n for name, n in written if name != "successors") <= 10 * 300
+    assert len(written) < 30
+
+
 def test_overrides_and_data_channels_in_reverse(spark):
     c = calls(spark, [("caller", "Base.m")])
     e = spark.createDataFrame(
