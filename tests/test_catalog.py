@@ -44,3 +44,17 @@ def test_query(spark, duck, name):
 def test_flows_are_walked_to_the_default_depth(spark):
     rows = QUERIES["dfs_flows"](spark, SF).select("depth").collect()
     assert max(r.depth for r in rows) == FLOW_DEPTH
+
+
+@pytest.mark.parametrize("parts, hops", [((1, 3, 4, 5, 2), 4), ((1, 3, 4, 5, 6, 2), None), ((2, 1), None)])
+def test_trace_asks_as_far_as_its_sql(spark, tmp_path, parts, hops):
+    """One order whose lines lead from part 1 to part 2 in so many calls."""
+    con = duckdb.connect()
+    con.execute(
+        f"copy (select * replace (1::BIGINT as l_orderkey, k::INTEGER as l_linenumber, ({list(parts)})[k]::BIGINT as l_partkey)"
+        f" from (select *, row_number() over () as k from '{SF}/lineitem.parquet' limit {len(parts)}))"
+        f" to '{tmp_path}/lineitem.parquet' (format parquet)"
+    )
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    assert con.execute(SQL["trace_shortest"]).fetchall() == [(hops,)]
+    assert [tuple(r) for r in QUERIES["trace_shortest"](spark, str(tmp_path)).collect()] == [(hops,)]
